@@ -7,8 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkveil.llm import quality_rules
+from inkveil.llm import quality_rules, token_planes
 from inkveil.llm.common import table
+from inkveil.llm.tokens import vocabulary_file
+
+VOCABULARY = "word_bpe_49k.json"
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,8 +19,13 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"), trusted)
 
 
+def op9_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_planes.digests(table(spark, sf_dir, "documents"), vocabulary_file(VOCABULARY))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
+    "op9_token_planes": op9_token_planes,
 }
 
 ORACLE_SQL: dict[str, str] = {}
