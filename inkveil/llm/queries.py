@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkveil.llm import quality_rules, token_planes
+from inkveil.llm import packing, quality_rules, token_planes
 from inkveil.llm.common import table
 from inkveil.llm.tokens import vocabulary_file
 
 VOCABULARY = "word_bpe_49k.json"
 
 
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), vocabulary_file(VOCABULARY))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     trusted = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
     return quality_rules.judge(table(spark, sf_dir, "documents"), trusted)
@@ -24,6 +28,7 @@ def op9_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_packing": op2_packing,
     "op8_quality_rules": op8_quality_rules,
     "op9_token_planes": op9_token_planes,
 }
