@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkveil.llm import packing, quality_rules, token_planes
+from inkveil.llm import packing, quality_rules, suffix_tree, token_planes
 from inkveil.llm.common import table
 from inkveil.llm.tokens import vocabulary_file
 
 VOCABULARY = "word_bpe_49k.json"
 
 
+def op1_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_tree.score(table(spark, sf_dir, "documents"))
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary_file(VOCABULARY))
 
@@ -28,6 +32,7 @@ def op9_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_suffix_tree": op1_suffix_tree,
     "op2_packing": op2_packing,
     "op8_quality_rules": op8_quality_rules,
     "op9_token_planes": op9_token_planes,
