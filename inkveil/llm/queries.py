@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkveil.llm import packing, quality_rules, suffix_tree, token_planes
+from inkveil.llm import mixing, packing, quality_rules, suffix_tree, token_planes
 from inkveil.llm.common import table
 from inkveil.llm.tokens import vocabulary_file
 
@@ -22,6 +22,10 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary_file(VOCABULARY))
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).drop("pieces")
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     trusted = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
     return quality_rules.judge(table(spark, sf_dir, "documents"), trusted)
@@ -34,6 +38,7 @@ def op9_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_tree": op1_suffix_tree,
     "op2_packing": op2_packing,
+    "op3_mixing": op3_mixing,
     "op8_quality_rules": op8_quality_rules,
     "op9_token_planes": op9_token_planes,
 }
