@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkveil.llm import mixing, packing, quality_rules, suffix_tree, token_planes
+from inkveil.llm import mixing, packing, quality_rules, suffix_tree, token_planes, warc
 from inkveil.llm.common import table
 from inkveil.llm.tokens import vocabulary_file
 
@@ -26,6 +26,10 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).drop("pieces")
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     trusted = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
     return quality_rules.judge(table(spark, sf_dir, "documents"), trusted)
@@ -39,8 +43,19 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_tree": op1_suffix_tree,
     "op2_packing": op2_packing,
     "op3_mixing": op3_mixing,
+    "op7_warc": op7_warc,
     "op8_quality_rules": op8_quality_rules,
     "op9_token_planes": op9_token_planes,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op7_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+        d AS (SELECT page_id, octet_length(encode(html)) AS payload_bytes, sha1(html) AS hex FROM p),
+        b AS (SELECT page_id, payload_bytes, array_to_string(list_transform(range(0, 32), lambda i:
+                substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + (((('0x' || substr(hex, 5 * (i // 4) + 1, 5))::BIGINT) >> (15 - 5 * (i % 4))) & 31)::INTEGER, 1)), '') AS payload_digest FROM d),
+        k AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) AS kept FROM b)
+        SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = kept THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id <> kept THEN kept END AS refers_to FROM k
+    """,
+}
