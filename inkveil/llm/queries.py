@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkveil.llm import mixing, packing, quality_rules, suffix_tree, token_planes, warc
-from inkveil.llm.common import table
+from inkveil.llm import mixing, packing, quality_rules, suffix_tree, token_planes, toxicity, warc
+from inkveil.llm.common import bucket_of, table
 from inkveil.llm.tokens import vocabulary_file
 
 VOCABULARY = "word_bpe_49k.json"
@@ -39,6 +39,11 @@ def op9_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_planes.digests(table(spark, sf_dir, "documents"), vocabulary_file(VOCABULARY))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = bucket_of(F.col("doc_id"), 4) == 2
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").where(~held_out), more={"held_out": held_out})
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_tree": op1_suffix_tree,
     "op2_packing": op2_packing,
@@ -46,6 +51,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_warc": op7_warc,
     "op8_quality_rules": op8_quality_rules,
     "op9_token_planes": op9_token_planes,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLE_SQL: dict[str, str] = {
