@@ -17,17 +17,44 @@ from tokenizers import Tokenizer
 
 #: Appended to each document.
 END_ID = 1
-#: Chunks and parts that a worker remembers, and the bytes of the longest chunk it remembers.
-MAX_CACHED, MAX_CHUNK = 500_000, 64
+#: Chunks and parts that a worker remembers in one generation, and the bytes of the longest chunk it remembers.
+MAX_CACHED, MAX_CHUNK = 400_000, 64
 #: Texts whose unknown chunks are encoded together.
 GROUP = 64
 
 #: Letters whose lower-casing and composition don't hang on their neighbours; then anything that is no letter, digit or space.
 _SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]*)")
 
+#: Lower-case words of these letters pass the normaliser and the pre-tokenizer unchanged, but for the byte alphabet:
+#: it writes the bytes that aren't printable in Latin-1 as the code points from 256 on.
+_LETTERS = re.compile(r"[a-zß-öø-ÿ]+")
+_BYTES = {b: 256 + k for k, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255))}
+
 _ENCODERS: dict[int, ChunkEncoder] = {}
 
 
+class _Memory:
+    """A dict of the last MAX_CACHED entries or more: two generations, the older of which goes when the younger is full."""
+
+    def __init__(self):
+        self.young: dict = {}
+        self.old: dict = {}
+
+    def absent(self, keys) -> list:
+        """The keys that neither generation has; what the older has moves to the younger."""
+        old, out = self.old, []
+        for x in keys:
+            if (found := old.get(x)) is None:
+                out.append(x)
+            else:
+                self.young[x] = found
+        return out
+
+    def age(self) -> None:
+        if len(self.young) > MAX_CACHED:
+            self.old, self.young = self.young, {}
+
+
 class ChunkEncoder:
     """Ids as little-endian unsigned 32-bit integers."""
 
@@ -35,43 +62,48 @@ class ChunkEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_str(vocabulary)
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[bytes, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+        self.model = self.tokenizer.model
+        self.chunks, self.parts = _Memory(), _Memory()
 
     def chunk_ids(self, texts: list[str]) -> list[list[bytes]]:
         """For each text, the ids of each of its chunks."""
         split = [x.encode().split() for x in texts]
-        chunks = set(chain.from_iterable(split))
-        self._learn(chunks)
-        out = [list(map(self.known.__getitem__, x)) for x in split]
-        for x in chunks:
-            if len(x) > MAX_CHUNK:
-                del self.known[x]
+        get = self.chunks.young.get
+        out = [list(map(get, x)) for x in split]
+        lacking = [k for k, x in enumerate(out) if None in x]
+        if lacking:
+            new = {c for k in lacking for c, ids in zip(split[k], out[k], strict=True) if ids is None}
+            self._learn(self.chunks.absent(new))
+            young = self.chunks.young
+            for k in lacking:
+                out[k] = [young[c] if ids is None else ids for c, ids in zip(split[k], out[k], strict=True)]
+            for c in new:
+                if len(c) > MAX_CHUNK:
+                    del young[c]
+            self.chunks.age()
         return out
 
-    def _learn(self, chunks: set[bytes]) -> None:
-        new = [x for x in chunks if x not in self.known]
-        if len(self.known) + len(new) > MAX_CACHED:
-            self.known.clear()
-            new = chunks
+    def _learn(self, chunks: list[bytes]) -> None:
         cut = []
-        for x in new:
+        for x in chunks:
             text = x.decode()
             simple = _SIMPLE.fullmatch(text) if len(x) <= MAX_CHUNK else None
-            cut.append((x, (simple[1].lower(), simple[2]) if simple else (text, "")))
-        wanted = {p for _, pair in cut for p in pair}
-        missing = [x for x in wanted if x not in self.parts]
-        if len(self.parts) + len(missing) > MAX_CACHED:
-            self.parts.clear()
-            missing = list(wanted)
-        found = self.tokenizer.encode_batch_fast(missing, add_special_tokens=False)
-        fresh = {x: b"".join([i.to_bytes(4, "little") for i in e.ids]) for x, e in zip(missing, found, strict=True)}
-        self.parts.update(fresh)
-        parts = self.parts
-        self.known.update((x, parts[a] + parts[b]) for x, (a, b) in cut)
+            cut.append((x, simple[1].lower(), simple[2]) if simple else (x, text, ""))
+        parts = self.parts.young
+        missing = self.parts.absent({p for _, *pair in cut for p in pair if p not in parts})
+        other = []
         for x in missing:
+            if _LETTERS.fullmatch(x) and len(x) <= MAX_CHUNK:
+                parts[x] = b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(x.encode().decode("latin-1").translate(_BYTES))])
+            else:
+                other.append(x)
+        found = self.tokenizer.encode_batch_fast(other, add_special_tokens=False)
+        parts.update((x, b"".join([i.to_bytes(4, "little") for i in e.ids])) for x, e in zip(other, found, strict=True))
+        self.chunks.young.update((x, parts[a] + parts[b]) for x, a, b in cut)
+        for x in other:
             if len(x) > MAX_CHUNK:
                 del parts[x]
+        self.parts.age()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text and END_ID."""
