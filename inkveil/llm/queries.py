@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkveil.llm import mixing, packing, quality_rules, suffix_tree, token_planes, toxicity, warc
+from inkveil.llm import mixing, near_dup, packing, quality_rules, suffix_tree, token_planes, toxicity, url_filter, warc
 from inkveil.llm.common import bucket_of, table
 from inkveil.llm.tokens import vocabulary_file
 
+URL_RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
 VOCABULARY = "word_bpe_49k.json"
 
 
@@ -26,6 +27,14 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).drop("pieces")
 
 
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"), URL_RULES)
+
+
+def op6_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.dedup(table(spark, sf_dir, "documents"), n=2)
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
@@ -48,6 +57,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_tree": op1_suffix_tree,
     "op2_packing": op2_packing,
     "op3_mixing": op3_mixing,
+    "op4_url_filter": op4_url_filter,
+    "op6_near_dup": op6_near_dup,
     "op7_warc": op7_warc,
     "op8_quality_rules": op8_quality_rules,
     "op9_token_planes": op9_token_planes,
