@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkveil.llm import mixing, near_dup, packing, quality_rules, suffix_tree, token_planes, toxicity, url_filter, warc
+from inkveil.llm import bloom_lookup, mixing, near_dup, packing, quality_rules, suffix_tree, token_planes, toxicity, url_filter, warc
 from inkveil.llm.common import bucket_of, table
 from inkveil.llm.tokens import vocabulary_file
 
@@ -31,6 +31,10 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op5_bloom_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bloom_lookup.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op6_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.dedup(table(spark, sf_dir, "documents"), n=2)
 
@@ -58,6 +62,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_packing": op2_packing,
     "op3_mixing": op3_mixing,
     "op4_url_filter": op4_url_filter,
+    "op5_bloom_lookup": op5_bloom_lookup,
     "op6_near_dup": op6_near_dup,
     "op7_warc": op7_warc,
     "op8_quality_rules": op8_quality_rules,
