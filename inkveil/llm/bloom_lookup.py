@@ -1,11 +1,12 @@
 """Text fingerprints by invertible Bloom lookup sketches, in DataFrame expressions alone.
 
 A text's paragraphs are its lines, long ones in pieces of `PIECE_WORDS` words; a sketch holds their 64-bit digests. Each
-digest goes to one cell in each of three rows of four; a cell has the number, the XOR of the digests and the XOR of
-their checks. Sketches of two texts subtract cell by cell: what both hold cancels out. Cells left with one digest
+digest goes to one cell in each of three rows of four; a cell has the XOR of the digests and the sum of their shares (a large one and
+a check: so it tells their number too). Sketches of two texts subtract cell by cell: what both hold cancels out. Cells left with one digest
 give it away; taking it out of its other cells peels the difference, digest by digest. A fingerprint is the sketch of one block of
-cells. Where it can't be peeled, larger ones are tried: digests are dealt among more and more blocks by their bits. What
-even the largest can't peel is compared as sets. From the size of the difference and of both sets follows their Jaccard likeness.
+cells. Where it can't be peeled, a larger one is tried: digests are dealt among many blocks by their bits. A block that can't be peeled is
+tried again as RETRY_BLOCKS, and what even those can't tell is compared as sets. From the size of the difference and of both sets
+follows their Jaccard likeness.
 
 The next document of each, in descending order of doc_id, comes from one shuffle of texts by ranges of doc_id: the
 ranges' bounds are quantiles (at most MAX_RANGES), and the first document of a range is also sent to the one before it.
@@ -25,11 +26,11 @@ from pyspark.sql import window as W
 
 from inkveil.llm.common import text_of
 
-PIECE_WORDS = 16
-#: Cells of a block: three rows of four.
-CELLS = 12
-#: Rounds of peeling, digests of a group that's peeled together on average, and digests of a block at each try.
-ROUNDS, GROUP, LOADS = 8, 64, (4, 2, 1)
+PIECE_WORDS = 32
+#: Cells of a block: three rows of four. The share of one digest in a cell's sum.
+CELLS, ONE = 12, 1 << 40
+#: Rounds of peeling; digests on average of a group and of a block in it; blocks that one is parted into if it can't be peeled.
+ROUNDS, GROUP, LOAD, RETRY_BLOCKS = 8, 24, 3, 4
 RANGE_DOCS, MAX_RANGES, SIDE = 400, 4096, 64
 
 _PIECE = "(?:[^\\x20\\x09-\\x0D]++[\\x20\\x09\\x0B-\\x0D]*+){1,%d}" % PIECE_WORDS  # noqa: UP031
@@ -45,77 +46,89 @@ def digests(text: Column) -> Column:
     return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(_PIECE), 0), lambda p: F.xxhash64(F.rtrim(p))))
 
 
-def entries(keys: Column) -> Column:
-    """For each digest: k, its cells as bits of m, its check c."""
+def _check(h: Column) -> Column:
+    """A digest's share of a cell's sum: ONE, so that sums tell numbers of digests, and a check of 31 bits."""
+    return F.shiftright(h, 16).bitwiseAND(0x7FFFFFFF) + ONE
+
+
+def _cells_of(h: Column) -> Column:
+    """A digest's three cells, as bits."""
+    bit = lambda n: F.call_function("shiftleft", F.lit(1), F.shiftright(h, 2 * n).bitwiseAND(3).cast("int") + 4 * n)
+    return bit(0) + bit(1) + bit(2)
 
-    def entry(k: Column) -> Column:
-        bit = lambda h, n: F.call_function("shiftleft", F.lit(1), F.shiftright(h, 2 * n).bitwiseAND(3).cast("int") + 4 * n)
-        made = lambda h: F.struct(k.alias("k"), (bit(h, 0) + bit(h, 1) + bit(h, 2)).alias("m"), F.shiftright(h, 16).bitwiseAND(0x7FFFFFFF).alias("c"))
-        return let(F.xxhash64(k), made)
 
-    return F.transform(keys, entry)
+def entries(keys: Column) -> Column:
+    """For each digest: k, its cells m, its share s."""
+    return F.transform(keys, lambda k: let(F.xxhash64(k), lambda h: F.struct(k.alias("k"), _cells_of(h).alias("m"), _check(h).alias("s"))))
 
 
 def _hits(mask: Column, j: Column) -> Column:
     return F.call_function("shiftright", mask, j).bitwiseAND(1) == 1
 
 
-def _cell(n: Column, k: Column, c: Column) -> Column:
-    return F.struct(n.alias("n"), k.alias("k"), c.alias("c"))
+def _cell(k: Column, s: Column) -> Column:
+    return F.struct(k.alias("k"), s.alias("s"))
 
 
 def sketch(own: Column) -> Column:
-    """The cells of one block."""
-    empty = _cell(F.lit(0), F.lit(0).cast("long"), F.lit(0).cast("long"))
-    add = lambda a, e: _cell(a["n"] + 1, a["k"].bitwiseXOR(e["k"]), a["c"].bitwiseXOR(e["c"]))
+    """The cells of one block: XOR of digests and sum of shares."""
+    empty = _cell(F.lit(0).cast("long"), F.lit(0).cast("long"))
+    add = lambda a, e: _cell(a["k"].bitwiseXOR(e["k"]), a["s"] + e["s"])
     return F.transform(F.lit(list(range(CELLS))), lambda j: F.aggregate(own, empty, lambda a, e: F.when(_hits(e["m"], j), add(a, e)).otherwise(a)))
 
 
 def subtract(a: Column, b: Column) -> Column:
-    return F.zip_with(a, b, lambda x, y: _cell(x["n"] - y["n"], x["k"].bitwiseXOR(y["k"]), x["c"].bitwiseXOR(y["c"])))
+    return F.zip_with(a, b, lambda x, y: _cell(x["k"].bitwiseXOR(y["k"]), x["s"] - y["s"]))
+
+
+def pure(cells: Column) -> Column:
+    """What cells of a single digest hold (k, and s with its sign)."""
+    return F.array_distinct(F.filter(cells, lambda x: F.abs(x["s"]) == _check(F.xxhash64(x["k"]))))
+
+
+def total(cells: Column) -> Column:
+    empty = _cell(F.lit(0).cast("long"), F.lit(0).cast("long"))
+    return F.aggregate(cells, empty, lambda a, x: _cell(a["k"].bitwiseXOR(x["k"]), a["s"] + x["s"]))
 
 
 def peel(cells: Column) -> Column:
     """Number of digests that a difference holds, or null if they can't be told."""
+    # Each digest is once in the first row of cells, so if the pure ones sum up to that, they are all.
+    return let(pure(cells), lambda found: F.when(total(found) == total(F.slice(cells, 1, 4)), F.size(found)).otherwise(peel_by_rounds(cells)))
+
 
+def peel_by_rounds(cells: Column) -> Column:
     def once(state: Column, _: Column) -> Column:
-        single = F.filter(state["cells"], lambda x: F.abs(x["n"]) == 1)
-        known = F.transform(single, lambda x: F.struct(x["n"].alias("n"), F.get(entries(F.array(x["k"])), F.lit(0)).alias("e"), x["c"].alias("c")))
-        pure = F.array_distinct(F.filter(known, lambda x: x["e"]["c"] == x["c"]))
-        return let(pure, lambda found: F.when(F.size(found) == 0, state).otherwise(F.struct(without(state["cells"], found).alias("cells"), (state["d"] + F.size(found)).alias("d"))))
+        more = let(pure(state["cells"]), lambda found: F.struct(without(state["cells"], found).alias("cells"), (state["d"] + F.size(found)).alias("d"), (F.size(found) == 0).alias("end")))
+        return F.when(state["end"], state).otherwise(more)
 
     def without(all_cells: Column, found: Column) -> Column:
-        take = lambda a, x: _cell(a["n"] - x["n"], a["k"].bitwiseXOR(x["e"]["k"]), a["c"].bitwiseXOR(x["c"]))
-        return F.transform(all_cells, lambda cell, j: F.aggregate(found, cell, lambda a, x: F.when(_hits(x["e"]["m"], j), take(a, x)).otherwise(a)))
+        take = lambda a, x: _cell(a["k"].bitwiseXOR(x["k"]), a["s"] - x["s"])
+        placed = F.transform(found, lambda x: F.struct(x["k"].alias("k"), x["s"].alias("s"), _cells_of(F.xxhash64(x["k"])).alias("m")))
+        return let(placed, lambda known: F.transform(all_cells, lambda cell, j: F.aggregate(known, cell, lambda a, x: F.when(_hits(x["m"], j), take(a, x)).otherwise(a))))
 
-    start = F.struct(cells.alias("cells"), F.lit(0).alias("d"))
-    empty = lambda x: (x["n"] == 0) & (x["k"] == 0) & (x["c"] == 0)
-    return F.aggregate(F.lit(list(range(ROUNDS))), start, once, lambda end: F.when(F.forall(end["cells"], empty), end["d"]))
+    start = F.struct(cells.alias("cells"), F.lit(0).alias("d"), F.lit(False).alias("end"))
+    return F.aggregate(F.lit(list(range(ROUNDS))), start, once, lambda end: F.when(F.forall(end["cells"], lambda x: (x["k"] == 0) & (x["s"] == 0)), end["d"]))
 
 
 def _share(own: Column, blocks: Column, g: Column, shift: int) -> Column:
     return F.filter(own, lambda e: F.pmod(F.shiftright(e["k"], shift), blocks) == g)
 
 
-def _added(parts: Column) -> Column:
-    """Their sum, null if one of them is."""
-    return F.aggregate(parts, F.lit(0), lambda a, x: a + x)
-
-
-def by_blocks(a: Column, b: Column, load: int) -> Column:
-    """Size of the difference by sketches of several blocks, or null."""
-    count = F.greatest(F.ceil((F.size(a) + F.size(b)) / load), F.lit(1))
-    tried = lambda n: _added(F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda g: peel(subtract(sketch(_share(a, n, g, 20)), sketch(_share(b, n, g, 20))))))
-    return let(count, tried)
+def in_blocks(a: Column, b: Column, blocks: Column, shift: int, use: Callable[[Column, Column], Column]) -> Column:
+    """Sum over blocks of use(a's part, b's part)."""
+    one = lambda n, g: let(_share(a, n, g, shift), lambda x: let(_share(b, n, g, shift), lambda y: use(x, y)))
+    return let(blocks, lambda n: F.aggregate(F.sequence(F.lit(0).cast("long"), n - 1), F.lit(0), lambda d, g: d + one(n, g)))
 
 
 def difference(a: Column, b: Column, whole_a: Column, whole_b: Column) -> Column:
     """Number of digests that one of two texts has alone; a, b: their entries, whole_a, whole_b: their fingerprints' cells."""
     exact = lambda x, y: F.size(F.array_except(x, y)) + F.size(F.array_except(y, x))
-    group = lambda x, y: F.coalesce(*[by_blocks(x, y, load) for load in LOADS], exact(x, y))
-    groups = F.greatest(F.ceil((F.size(a) + F.size(b)) / GROUP), F.lit(1))
-    deal = lambda n: _added(F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda g: let(_share(a, n, g, 40), lambda x: let(_share(b, n, g, 40), lambda y: group(x, y)))))
-    return F.coalesce(peel(subtract(whole_a, whole_b)), let(groups, deal))
+    smaller = lambda x, y: F.coalesce(peel(subtract(sketch(x), sketch(y))), exact(x, y))
+    block = lambda x, y: F.coalesce(peel(subtract(sketch(x), sketch(y))), in_blocks(x, y, F.lit(RETRY_BLOCKS).cast("long"), 8, smaller))
+    count = lambda x, y, load: F.greatest(F.ceil((F.size(x) + F.size(y)) / load), F.lit(1))
+    group = lambda x, y: in_blocks(x, y, count(x, y, LOAD), 24, block)
+    return F.coalesce(peel(subtract(whole_a, whole_b)), in_blocks(a, b, count(a, b, GROUP), 40, group))
 
 
 def likeness(d: Column, na: Column, nb: Column) -> Column:
@@ -124,8 +137,8 @@ def likeness(d: Column, na: Column, nb: Column) -> Column:
 
 
 def written_out(cells: Column, n: Column) -> Column:
-    """The number of digests, then 28 hex digits for each cell."""
-    cell = lambda x: F.concat(F.lpad(F.hex(x["n"]), 4, "0"), F.lpad(F.hex(x["k"]), 16, "0"), F.lpad(F.hex(x["c"]), 8, "0"))
+    """The number of digests, then 32 hex digits for each cell."""
+    cell = lambda x: F.concat(F.lpad(F.hex(x["k"]), 16, "0"), F.lpad(F.hex(x["s"]), 16, "0"))
     return F.concat(F.hex(n), F.lit(":"), F.array_join(F.transform(cells, cell), ""))
 
 
