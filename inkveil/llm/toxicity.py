@@ -24,13 +24,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkveil.llm.common import text_of
+from inkveil.llm.common import text_of, written
 
-MAX_TOXIC, MAX_CLEAN = 4000, 8000
+MAX_TOXIC, MAX_CLEAN = 3000, 6000
 THRESHOLD = 0.3
 #: Lengths (in bytes) of the word beginnings that are mined; a mined voter needs so many texts, nats of evidence, and this share of toxic ones.
 BEGINNINGS = (4, 5, 6)
-MIN_TEXTS, MIN_NATS, MIN_PRECISION, MAX_MINED = 4, 8.0, 0.6, 1500
+MIN_TEXTS, MIN_NATS, MIN_PRECISION, MAX_MINED = 4, 8.0, 0.6, 800
 #: Accuracy of a given label, and rates on toxic and clean texts that voters start from.
 LABEL_ACCURACY, START_TOXIC, START_CLEAN = 0.98, 0.2, 0.01
 #: Voters of equal votes in the sample's texts count as one voter in the correlations; residuals under this are noise.
@@ -97,25 +97,32 @@ class Voters:
         return found
 
 
-def mine(texts: list[set[bytes]], toxic: np.ndarray) -> list[tuple[int, bytes]]:
-    """Words and beginnings whose texts are toxic far more often than all."""
-    both: list[Counter] = [Counter(), Counter()]
-    for words, y in zip(texts, toxic.tolist(), strict=True):
-        own = both[int(y)]
-        own.update((0, w) for w in words)
-        for n in BEGINNINGS:
-            own.update((n, b) for b in beginnings(words, n))
-    share = toxic.mean() if len(toxic) else 0.0
-    out = []
-    for key, a in both[1].items():
-        b = both[0][key]
-        precision = a / (a + b)
-        if a < MIN_TEXTS or precision < max(MIN_PRECISION, share):
-            continue
-        nats = a * math.log(precision / share) + (b * math.log((1 - precision) / (1 - share)) if b else 0)
-        if nats >= MIN_NATS:
-            out.append((-nats, key))
-    return [key for _, key in sorted(out)[:MAX_MINED]]
+def mine(sample: DataFrame) -> list[tuple[int, bytes]]:
+    """Words and beginnings whose texts are toxic far more often than all, of a sample (words, toxic); MAX_MINED at most."""
+
+    def count(batches):
+        both: list[Counter] = [Counter(), Counter()]
+        for batch in batches:
+            for joined, y in zip(batch.column("words"), batch.column("toxic").to_pylist(), strict=True):
+                words = set(joined.as_py().split())
+                both[y].update((0, w) for w in words)
+                for n in BEGINNINGS:
+                    both[y].update((n, b) for b in beginnings(words, n))
+        for y in (0, 1):
+            items = list(both[y].items())
+            for k in range(0, len(items), 1 << 16):
+                keys, n = zip(*items[k : k + (1 << 16)], strict=True)
+                sizes, texts = zip(*keys, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(sizes, pa.int32()), pa.array(texts, pa.binary()), pa.array(n if y else [0] * len(n), pa.int64()), pa.array([0] * len(n) if y else n, pa.int64())], ["size", "part", "toxic", "clean"])
+
+    share = sample.agg(F.avg("toxic").alias("share")).first().share
+    if not share or share == 1:
+        return []
+    found = sample.mapInArrow(count, "size int, part binary, toxic long, clean long").groupBy("size", "part").agg(F.sum("toxic").alias("a"), F.sum("clean").alias("b"))
+    precision = F.col("a") / (F.col("a") + F.col("b"))
+    nats = F.col("a") * F.log(precision / share) + F.when(F.col("b") > 0, F.col("b") * F.log((1 - precision) / (1 - share))).otherwise(0.0)
+    best = found.where((F.col("a") >= MIN_TEXTS) & (precision >= max(MIN_PRECISION, share)) & (nats >= MIN_NATS)).orderBy(F.desc(nats), "size", "part").limit(MAX_MINED)
+    return [(r.size, bytes(r.part)) for r in best.select(F.col("size"), "part").collect()]
 
 
 def label_model(votes: np.ndarray, labels: np.ndarray, steps: int = 25) -> tuple[np.ndarray, np.ndarray]:
@@ -128,7 +135,7 @@ def label_model(votes: np.ndarray, labels: np.ndarray, steps: int = 25) -> tuple
         mass = np.array([posterior.sum(), (1 - posterior).sum()])
         rates = np.stack([(posterior @ votes + START_TOXIC) / (mass[0] + 1), ((1 - posterior) @ votes + START_CLEAN) / (mass[1] + 1)])
         if step == 5:  # accuracies have settled: how far voters repeat each other within a class
-            residual = votes - posterior[:, None] * rates[0] - (1 - posterior)[:, None] * rates[1]
+            residual = votes - (posterior[:, None] * rates[0] + (1 - posterior)[:, None] * rates[1]).astype(np.float32)
             norm = np.sqrt((residual**2).sum(0)) + 1e-9
             together = (residual.T @ residual) / norm[:, None] / norm
             np.fill_diagonal(together, 0)
@@ -172,16 +179,29 @@ def _norm(x: np.ndarray) -> float:
     return value * 1.05
 
 
-def train(texts: list[set[bytes]], labels: np.ndarray) -> tuple[Voters, np.ndarray]:
-    voters = Voters(mine(texts, labels))
-    if not len(texts) or labels.min() == labels.max():
+def train(docs: DataFrame, labels: DataFrame) -> tuple[Voters, np.ndarray]:
+    """The voters, and their weights; labels: doc_id and toxic."""
+    texts = written(sample(docs, labels), "toxic-sample")
+    voters = Voters(mine(texts))
+    sent = docs.sparkSession.sparkContext.broadcast(voters)
+
+    def vote(batches):
+        for batch in batches:
+            found = [sorted(sent.value.votes(set(x.as_py().split()))) for x in batch.column("words")]
+            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(found, pa.list_(pa.int32()))], ["toxic", "votes"])
+
+    # At most MAX_TOXIC + MAX_CLEAN lists of votes reach the driver; their order mustn't hang on the run's.
+    table = texts.mapInArrow(vote, "toxic int, votes array<int>").toArrow()
+    rows = sorted(zip(table.column("toxic").to_pylist(), table.column("votes").to_pylist(), strict=True))
+    given = np.array([y for y, _ in rows], float)
+    if not rows or given.min() == given.max():
         w = np.full(voters.count + 4, 0.0)
         w[: voters.count], w[-1] = math.log(START_TOXIC / START_CLEAN), -3.0
         return voters, w
-    votes = np.zeros((len(texts), voters.count), np.float32)
-    for k, words in enumerate(texts):
-        votes[k, list(voters.votes(words))] = 1
-    posterior, _ = label_model(votes, labels)
+    votes = np.zeros((len(rows), voters.count), np.float32)
+    for k, (_, own) in enumerate(rows):
+        votes[k, own] = 1
+    posterior, _ = label_model(votes, given)
     return voters, fit_linear(counted(votes), posterior)
 
 
@@ -192,8 +212,8 @@ def score_of(voters: Voters, weights: list[float], words: set[bytes]) -> float:
     return 1 / (1 + math.exp(-max(-30.0, min(30.0, odds))))
 
 
-def sample(docs: DataFrame, labels: DataFrame) -> tuple[list[set[bytes]], np.ndarray]:
-    """Words and labels of the bounded sample; labels: doc_id and toxic."""
+def sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """words (distinct, joined by spaces) and toxic of the bounded sample."""
     once = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     some = [once.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for y, n in ((1, MAX_TOXIC), (0, MAX_CLEAN))]
 
@@ -202,17 +222,15 @@ def sample(docs: DataFrame, labels: DataFrame) -> tuple[list[set[bytes]], np.nda
             words = [b" ".join(sorted(words_of(x))) for x in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), batch.column("toxic")], ["words", "toxic"])
 
-    # At most MAX_TOXIC + MAX_CLEAN ids are broadcast, and as many texts' words reach the driver.
+    # At most MAX_TOXIC + MAX_CLEAN ids are broadcast.
     chosen = docs.select("doc_id", text_of(F.col("text")).alias("text")).join(F.broadcast(some[0].union(some[1])), "doc_id")
-    found = chosen.select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(shorten, "words binary, toxic int").toArrow()
-    rows = sorted(zip(found.column("words").to_pylist(), found.column("toxic").to_pylist(), strict=True))
-    return [set(w.split()) for w, _ in rows], np.array([y for _, y in rows], float)
+    return chosen.select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(shorten, "words binary, toxic int")
 
 
 def score(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = ("doc_id",), threshold: float = THRESHOLD, more: dict[str, Column] | None = None) -> DataFrame:
     """The columns in keep, those in more, score, predicted, for each row of docs; labels holds the training rows alone."""
-    model = train(*sample(docs, labels))
-    sent = docs.sparkSession.sparkContext.broadcast((model[0], model[1].tolist()))
+    voters, weights = train(docs, labels)
+    sent = docs.sparkSession.sparkContext.broadcast((voters, weights.tolist()))
     extra = more or {}
     rows = docs.select(*keep, *[c.alias(n) for n, c in extra.items()], text_of(F.col("text")).alias("_text"))
 
