@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from inkveil.llm.common import LOWER, bucket_of, text_of, written
 
-DEPTH = 3
+DEPTH = 2
 #: Classes of words; symbol 255 is the end, as a word it's END, which no text holds.
 CLASSES = 250
 END, END_SYMBOL = b"\n", 255
@@ -236,15 +236,18 @@ def score(docs: DataFrame, folds: int = 5, held_out_fold: int = 1, **options) ->
             nonlocal rare, group, size
             found = tree.scores([x[-1] for x in group]) if group else []
             rows = [(*x[:-1], float(s - class_log[np.frombuffer(x[-1], np.uint8)[DEPTH:]].sum())) for x, s in zip(group, found, strict=True)]
-            uid, doc_id, held, n, top_sum, known, own = zip(*rows, strict=True) if rows else [()] * 7
+            uid, *own = zip(*rows, strict=True) if rows else [()] * 7
             r_uid, r_key, r_n = zip(*rare, strict=True) if rare else [()] * 3
-            pad = [None] * len(rare)
-            columns = (
-                ([*uid, *r_uid], pa.int64()), ([*doc_id, *pad], pa.int64()), ([*held, *pad], pa.bool_()), ([*n, *pad], pa.int64()), ([*own, *pad], pa.float64()), ([*top_sum, *pad], pa.float64()), ([*known, *pad], pa.int64()),
-                ([*(word_key(x.to_bytes(8, "big")) for x in uid), *r_key], pa.int64()), ([*[None] * len(rows), *r_n], pa.int64()),
-            )
+            fields = [pa.array(x, t) for x, t in zip(own, (pa.int64(), pa.bool_(), pa.int64(), pa.float64(), pa.int64(), pa.float64()), strict=True)]
+            texts = pa.StructArray.from_arrays(fields, names)
+            columns = [
+                pa.array([*uid, *r_uid], pa.int64()),
+                pa.array([*(word_key(x.to_bytes(8, "big")) for x in uid), *r_key], pa.int64()),
+                pa.array([*[None] * len(rows), *r_n], pa.int64()),
+                pa.concat_arrays([texts, pa.nulls(len(rare), texts.type)]),
+            ]
             rare, group, size = [], [], 0
-            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in columns], names)
+            return pa.RecordBatch.from_arrays(columns, ["uid", "key", "times", "own"])
 
         for batch in batches:
             for doc_id, text, held in zip(*(batch.column(k) for k in range(3)), strict=True):
@@ -267,12 +270,12 @@ def score(docs: DataFrame, folds: int = 5, held_out_fold: int = 1, **options) ->
 
     # The end token is in each training text, so it's among the most frequent; if it isn't, nothing was trained on.
     end_key = word_key(END)
-    names = ["uid", "doc_id", "held_out", "n_tokens", "score", "log_sum", "known", "key", "times"]
-    parts = docs.mapInArrow(measure, "uid long, doc_id long, held_out boolean, n_tokens long, score double, log_sum double, known long, key long, times long")
+    names = ["doc_id", "held_out", "n_tokens", "log_sum", "known", "score"]
+    parts = docs.mapInArrow(measure, "uid long, key long, times long, own struct<doc_id: long, held_out: boolean, n_tokens: long, log_sum: double, known: long, score: double>")
     # A text's own row has a key of its own, which spreads those rows and finds no count.
     joined = parts.join(words.withColumnRenamed("n", "count"), (parts["key"] == words["key"]) & parts["times"].isNotNull(), "left")
-    log_sum = F.coalesce("log_sum", F.col("times") * F.log10(F.coalesce("count", F.lit(0)) + 0.5))
-    known = F.coalesce("known", F.when(F.col("count").isNotNull(), F.col("times")).otherwise(0))
-    summed = joined.groupBy("uid").agg(*(F.max(x).alias(x) for x in ("doc_id", "held_out", "n_tokens", "score")), F.sum(log_sum).alias("logs"), F.sum(known).alias("n_known"))
+    log_sum = F.coalesce("own.log_sum", F.col("times") * F.log10(F.coalesce("count", F.lit(0)) + 0.5))
+    known = F.coalesce("own.known", F.when(F.col("count").isNotNull(), F.col("times")).otherwise(0))
+    summed = joined.groupBy("uid").agg(*(F.max(f"own.{x}").alias(x) for x in ("doc_id", "held_out", "n_tokens", "score")), F.sum(log_sum).alias("logs"), F.sum(known).alias("n_known"))
     base = F.col("logs") - F.col("n_tokens") * math.log10(tokens + 0.5 * (distinct + 1))
     return summed.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), base.alias("base_score"), (F.col("score") + F.col("logs")).alias("score"))
