@@ -379,7 +379,7 @@ def outside_page(spark, sf_dir):
 
 
 @query(f"""
-    WITH f AS ({_FIELDS}) SELECT record_id, 20.0 + 6 * 5 - 2.4 AS x0, 20.0 + 14 * 2 - 0.48 AS y0, 20.0 + 6 * (5 + length(ssn)) + 2.4 AS x1, 32.0 + 14 * 2 + 0.48 AS y1 FROM f
+    WITH f AS ({_FIELDS}) SELECT record_id, 50::DOUBLE - 2.4::DOUBLE AS x0, 48::DOUBLE - 0.48::DOUBLE AS y0, (50 + 6 * length(ssn))::DOUBLE + 2.4::DOUBLE AS x1, 60::DOUBLE + 0.48::DOUBLE AS y1 FROM f
 """)
 def span_boxes(spark, sf_dir):
     """The padded box of each record's Social Security number."""
