@@ -17,77 +17,92 @@ table gives no pieces. Further columns are ignored. A word of more tokens than a
 from __future__ import annotations
 
 import zlib
-from array import array
 from collections import deque
 from collections.abc import Iterator
+from operator import itemgetter
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkveil.llm.common import text_of
-from inkveil.llm.tokens import END_ID, encoder
+from inkveil.llm.common import SPACES, text_of
+from inkveil.llm.tokens import END_ID, GROUP, encoder
 
 LENGTH = 2048
 #: Tokens of padding that a sequence more, a cut at a sentence's or line's end, one at a word's end and one in a word are worth.
 PRICE, AT_SENTENCE, AT_WORD, IN_WORD = 12, 2, 24, 200
-#: Sentences of more tokens can be cut at ends of words, this many tokens apart at least.
-LONG_SENTENCE, STRIDE = 96, 48
+#: Sentences of more tokens can be cut at ends of words, as many tokens apart.
+LONG_SENTENCE = 96
+#: Shortest sequence that is looked for because it needs no padding.
+SMALLEST = 64
 BLOCK_TOKENS = 1 << 20
 
+_LAST = itemgetter(-1)
+_STOPS = np.isin(np.arange(256), list(b".!?"))
+_BLANK = np.isin(np.arange(256), list(SPACES))
+
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, padding long"
 
 
-def cut_points(chunks: list[bytes], text: bytes, ids: list[bytes], length: int) -> tuple[array, array]:
+def cut_points(chunks: list[bytes], text: bytes, ids: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Positions inside a document (in tokens, without 0 and its end) where it can be cut, and the penalties there."""
-    at, penalty = array("q"), array("q")
-    lines = iter(text.split(b"\n"))
-    left = len(next(lines).split())
-    position = last = 0
-    for chunk, own in zip(chunks, ids, strict=True):
-        size = len(own) >> 2
-        left -= 1
-        if size > length:
-            for k in range(position + length, position + size, length):
-                at.append(k)
-                penalty.append(IN_WORD)
-            last = at[-1]
-        position += size
-        if left <= 0:
-            while left <= 0 and (line := next(lines, None)) is not None:
-                left = len(line.split())
-            sentence = True
-        else:
-            sentence = chunk[-1] in b".!?"
-        if position > last and (sentence or position - last >= LONG_SENTENCE):
-            at.append(position)
-            penalty.append(AT_SENTENCE if sentence else AT_WORD)
-            last = position
-    return at, penalty
-
-
-def best_cuts(at: array, penalty: array, length: int) -> list[int]:
+    if not chunks:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    after = np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids))) >> 2
+    sentence = _STOPS[np.frombuffer(bytes(map(_LAST, chunks)), np.uint8)]
+    data = np.frombuffer(text, np.uint8)
+    blank = _BLANK[data]
+    starts = ~blank
+    starts[1:] &= blank[:-1]
+    words = np.cumsum(starts)[data == 10]  # words before each line feed
+    sentence[words[words > 0] - 1] = True
+    at = after[sentence]
+    gaps = np.diff(at, prepend=0)
+    if len(at) and not gaps.all():  # words without tokens
+        at = at[gaps > 0]
+    if max(gaps.max(initial=0), after[-1] - (at[-1] if len(at) else 0)) >= LONG_SENTENCE:
+        more, last = [], 0
+        marks = set(at.tolist())
+        for p in after.tolist():
+            if p in marks:
+                last = p
+            elif p - last >= LONG_SENTENCE:
+                more.append(p)
+                last = p
+        both = np.concatenate([at, np.array(more, np.int64)])
+        penalty = np.repeat([AT_SENTENCE, AT_WORD], [len(at), len(more)])
+        order = np.argsort(both, kind="stable")
+        at, penalty = both[order], penalty[order]
+    else:
+        penalty = np.full(len(at), AT_SENTENCE)
+    inner = (at > 0) & (at < after[-1])  # else the end id would stand alone behind the last sentence
+    return at[inner], penalty[inner]
+
+
+def best_cuts(at: list[int], penalty: list[int], length: int) -> list[int]:
     """Indices of the chosen cuts among positions `at` (ascending, the first 0, the last the end; gaps of at most `length`)."""
     n = len(at)
-    cost, back = [0] * n, [0] * n
+    cost, back, key = [0] * n, [0] * n, [0] * n
     where = {p: k for k, p in enumerate(at)}
-    exact = [1 << k for k in range(length.bit_length()) if 1 << k < length][::-1]
+    exact = [1 << k for k in range(SMALLEST.bit_length() - 1, length.bit_length()) if 1 << k < length][::-1]
     queue: deque[int] = deque([0])
     for j in range(1, n):
         p = at[j]
         while at[queue[0]] < p - length:
             queue.popleft()
         i = queue[0]
-        best = cost[i] + at[i] + length - p
+        best = key[i] + length - p
         for size in exact:
-            k = where.get(p - size)
-            if k is not None and cost[k] < best:
-                best, i = cost[k], k
+            if p - size in where:
+                k = where[p - size]
+                if cost[k] < best:
+                    best, i = cost[k], k
         best += penalty[j] + PRICE
         cost[j], back[j] = best, i
-        key = best + p
-        while queue and cost[queue[-1]] + at[queue[-1]] >= key:
+        key[j] = own = best + p
+        while queue and key[queue[-1]] >= own:
             queue.pop()
         queue.append(j)
     out = [n - 1]
@@ -98,16 +113,13 @@ def best_cuts(at: array, penalty: array, length: int) -> list[int]:
 
 def pack_block(docs: list[tuple], first_sequence: int, length: int = LENGTH) -> list[tuple]:
     """Pieces (of SCHEMA) for documents of (doc_id, ids with the end id, cut positions, penalties)."""
-    at, penalty, starts = array("q", [0]), array("q", [0]), []
-    base = 0
-    for _, ids, inner, prices in docs:
-        starts.append(base)
-        at.extend(base + x for x in inner)
-        penalty.extend(prices)
-        base += len(ids) // 4
-        at.append(base)
-        penalty.append(0)
-    chosen = [at[k] for k in best_cuts(at, penalty, length)]
+    sizes = np.array([len(ids) // 4 for _, ids, _, _ in docs], np.int64)
+    ends = np.cumsum(sizes)
+    starts = (ends - sizes).tolist()
+    at = np.concatenate([[0], *(x for (_, _, inner, _), a, b in zip(docs, starts, ends, strict=True) for x in (inner + a, [b]))])
+    penalty = np.concatenate([[0], *(x for _, _, _, prices in docs for x in (prices, [0]))])
+    at = at.tolist()
+    chosen = [at[k] for k in best_cuts(at, penalty.tolist(), length)]
     pieces, doc = [], 0
     for number, (a, b) in enumerate(zip(chosen, chosen[1:], strict=False)):
         size = b - a
@@ -129,46 +141,39 @@ def pack_stream(docs: Iterator[tuple[int | None, str]], vocabulary: str, first_s
     held, size, group = [], 0, []
 
     def encoded():
-        texts = [x or "" for _, x in group]
-        for (doc_id, _), text, ids in zip(group, texts, words.chunk_ids(texts), strict=True):
-            data = text.encode()
-            inner, prices = cut_points(data.split(), data, ids, length)
-            whole = b"".join(ids)
-            if inner and inner[-1] == len(whole) // 4:  # else the end id would stand alone behind the last sentence
-                inner.pop(), prices.pop()
-            yield doc_id, whole + end, fill_gaps(inner, prices, len(whole) // 4 + 1, length)
+        texts = [(x or "").encode() for _, x in group]
+        for (doc_id, _), text, chunks, ids in zip(group, texts, *words.chunk_ids(texts), strict=True):
+            inner, prices = cut_points(chunks, text, ids)
+            whole = b"".join(ids) + end
+            if len(whole) > 4 * length:
+                inner, prices = fill_gaps(inner, prices, len(whole) // 4, length)
+            yield doc_id, whole, inner, prices
 
     for doc in docs:
         group.append(doc)
-        if len(group) < 64:
+        if len(group) < GROUP:
             continue
-        for doc_id, ids, (inner, prices) in encoded():
-            held.append((doc_id, ids, inner, prices))
-            size += len(ids) // 4
+        for found in encoded():
+            held.append(found)
+            size += len(found[1]) // 4
             if size >= block_tokens:
                 yield (pieces := pack_block(held, first_sequence, length))
                 first_sequence, held, size = pieces[-1][5] + 1, [], 0
         group = []
-    held += [(doc_id, ids, inner, prices) for doc_id, ids, (inner, prices) in encoded()]
+    held += encoded()
     if held:
         yield pack_block(held, first_sequence, length)
 
 
-def fill_gaps(at: array, penalty: array, end: int, length: int) -> tuple[array, array]:
-    """With positions added where two neighbours would be more than a sequence apart."""
-    if all(b - a <= length for a, b in zip([0, *at], [*at, end], strict=True)):
+def fill_gaps(at: np.ndarray, penalty: np.ndarray, end: int, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """With positions added where two neighbours would be more than a sequence apart: inside a word of very many tokens."""
+    before = np.concatenate([[0], at])
+    if (np.diff(np.concatenate([before, [end]])) <= length).all():
         return at, penalty
-    more, prices, last = array("q"), array("q"), 0
-    for p, price in zip([*at, end], [*penalty, 0], strict=True):
-        while p - last > length:
-            last += length
-            more.append(last)
-            prices.append(IN_WORD)
-        if p < end:
-            more.append(p)
-            prices.append(price)
-        last = p
-    return more, prices
+    more = np.concatenate([np.arange(a + length, b, length) for a, b in zip(before.tolist(), [*at.tolist(), end], strict=True)])
+    both, prices = np.concatenate([at, more]), np.concatenate([penalty, np.full(len(more), IN_WORD)])
+    order = np.argsort(both, kind="stable")
+    return both[order].astype(np.int64), prices[order]
 
 
 def pack(docs: DataFrame, vocabulary: str, length: int = LENGTH, block_tokens: int = BLOCK_TOKENS) -> DataFrame:

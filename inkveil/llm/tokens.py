@@ -20,7 +20,7 @@ END_ID = 1
 #: Chunks and parts that a worker remembers in one generation, and the bytes of the longest chunk it remembers.
 MAX_CACHED, MAX_CHUNK = 400_000, 64
 #: Texts whose unknown chunks are encoded together.
-GROUP = 64
+GROUP = 256
 
 #: Letters whose lower-casing and composition don't hang on their neighbours; then anything that is no letter, digit or space.
 _SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]*)")
@@ -63,25 +63,22 @@ class ChunkEncoder:
         self.tokenizer = Tokenizer.from_str(vocabulary)
         self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
+        self.four = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size(with_added_tokens=True))]
         self.chunks, self.parts = _Memory(), _Memory()
 
-    def chunk_ids(self, texts: list[str]) -> list[list[bytes]]:
-        """For each text, the ids of each of its chunks."""
-        split = [x.encode().split() for x in texts]
-        get = self.chunks.young.get
-        out = [list(map(get, x)) for x in split]
-        lacking = [k for k, x in enumerate(out) if None in x]
-        if lacking:
-            new = {c for k in lacking for c, ids in zip(split[k], out[k], strict=True) if ids is None}
+    def chunk_ids(self, texts: list[bytes]) -> tuple[list[list[bytes]], list[list[bytes]]]:
+        """For each text its chunks, and the ids of each."""
+        split = [x.split() for x in texts]
+        chunks = set(chain.from_iterable(split))
+        new = chunks.difference(self.chunks.young)
+        if new:
             self._learn(self.chunks.absent(new))
-            young = self.chunks.young
-            for k in lacking:
-                out[k] = [young[c] if ids is None else ids for c, ids in zip(split[k], out[k], strict=True)]
-            for c in new:
-                if len(c) > MAX_CHUNK:
-                    del young[c]
-            self.chunks.age()
-        return out
+        out = [list(map(self.chunks.young.__getitem__, x)) for x in split]
+        for c in new:
+            if len(c) > MAX_CHUNK:
+                del self.chunks.young[c]
+        self.chunks.age()
+        return split, out
 
     def _learn(self, chunks: list[bytes]) -> None:
         cut = []
@@ -91,14 +88,15 @@ class ChunkEncoder:
             cut.append((x, simple[1].lower(), simple[2]) if simple else (x, text, ""))
         parts = self.parts.young
         missing = self.parts.absent({p for _, *pair in cut for p in pair if p not in parts})
-        other = []
+        other, model, four = [], self.model.tokenize, self.four
         for x in missing:
-            if _LETTERS.fullmatch(x) and len(x) <= MAX_CHUNK:
-                parts[x] = b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(x.encode().decode("latin-1").translate(_BYTES))])
+            if len(x) <= MAX_CHUNK and _LETTERS.fullmatch(x):
+                tokens = model(x if x.isascii() else x.encode().decode("latin-1").translate(_BYTES))
+                parts[x] = b"".join([four[t.id] for t in tokens])
             else:
                 other.append(x)
         found = self.tokenizer.encode_batch_fast(other, add_special_tokens=False)
-        parts.update((x, b"".join([i.to_bytes(4, "little") for i in e.ids])) for x, e in zip(other, found, strict=True))
+        parts.update((x, b"".join([four[i] for i in e.ids])) for x, e in zip(other, found, strict=True))
         self.chunks.young.update((x, parts[a] + parts[b]) for x, a, b in cut)
         for x in other:
             if len(x) > MAX_CHUNK:
@@ -108,7 +106,7 @@ class ChunkEncoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text and END_ID."""
         end = END_ID.to_bytes(4, "little")
-        return [b"".join(x) + end for k in range(0, len(texts), GROUP) for x in self.chunk_ids(texts[k : k + GROUP])]
+        return [b"".join(x) + end for k in range(0, len(texts), GROUP) for x in self.chunk_ids([t.encode() for t in texts[k : k + GROUP]])[1]]
 
 
 def encoder(vocabulary: str) -> ChunkEncoder:
