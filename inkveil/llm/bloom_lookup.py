@@ -94,7 +94,8 @@ def total(cells: Column) -> Column:
 def peel(cells: Column) -> Column:
     """Number of digests that a difference holds, or null if they can't be told."""
     # Each digest is once in the first row of cells, so if the pure ones sum up to that, they are all.
-    return let(pure(cells), lambda found: F.when(total(found) == total(F.slice(cells, 1, 4)), F.size(found)).otherwise(peel_by_rounds(cells)))
+    at_once = lambda all_cells, found: F.when(total(found) == total(F.slice(all_cells, 1, 4)), F.size(found)).otherwise(peel_by_rounds(all_cells))
+    return let(cells, lambda all_cells: let(pure(all_cells), lambda found: at_once(all_cells, found)))
 
 
 def peel_by_rounds(cells: Column) -> Column:
