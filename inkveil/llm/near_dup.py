@@ -6,9 +6,10 @@ its sketch (those that are globally frequent come last, as in prefix filtering)
 two sets similar enough have sizes in the same or neighbouring classes and share REQUIRED of these values. Candidates
 are representatives that share so many; the sketch of their union estimates their similarity; the full sets confirm it.
 
-To lose no link and yet not pair up all members of a large group, lists are first worked off by stars: each
-representative is confirmed against one pivot, from another component, that it shares most values with; what is confirmed joins
-components. After STARS rounds of that, only representatives of different components are still paired up.
+To lose no link and yet not pair up the rows of a large group, each representative first joins the group of one hub: of the pivots of its lists (those
+whose lists are largest, as the original of many copies) the one that it shares most values with. Groups are compared block by block: a task
+gets the full sets of two blocks of members and returns only the links that join parts of them. What is
+linked joins components; then only representatives of different components and groups are still paired up.
 Components never reach the driver: large-star and small-star steps run over tables in the shared folder.
 
 With similarity 0.8 and K = 32 two sketches have fewer than SHARED values in common with probability below 1e-6; sets of at most
@@ -38,7 +39,8 @@ SHARED, REQUIRED, EXACT = 14, 4, 25
 MIN_ESTIMATE = 44
 #: Sketch values whose frequency the executors know; all others count as rare.
 MAX_FREQUENT = 1 << 16
-STARS = 2
+#: Members of a block.
+BLOCK = 256
 #: Most words of 64 bits in the bitmap of candidates.
 MAX_BITMAP = 1 << 20
 
@@ -100,7 +102,7 @@ def inverted_lists(nodes: DataFrame, percent: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.int64()), strict=True)], ["v", "c", "own", "id", "n"])
 
     rows = nodes.select("id", "n", "sketch").mapInArrow(run, "v long, c int, own boolean, id long, n long")
-    shared = rows.groupBy("v", "c").agg(F.count("*").alias("size"), F.max("own").alias("any")).where("size > 1 AND any").select("v", "c")
+    shared = rows.groupBy("v", "c").agg(F.count("*").alias("size"), F.max("own").alias("any")).where("size > 1 AND any").select("v", "c", "size")
     return written(rows.join(shared, ["v", "c"]), "near-lists")
 
 
@@ -115,30 +117,77 @@ def enough(pairs: DataFrame) -> DataFrame:
     return counted.where(F.col("shared") >= F.when(F.least("na", "nb") > EXACT, REQUIRED).otherwise(1))
 
 
-def labelled(lists: DataFrame, roots: DataFrame | None) -> DataFrame:
-    """The rows of lists that hold several components, with their component."""
-    if roots is None:
-        return lists.withColumn("root", F.col("id"))
-    own = lists.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
-    mixed = own.groupBy("v", "c").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.max("own").alias("any")).where("low < high AND any").select("v", "c")
-    return own.join(mixed, ["v", "c"])
-
-
-def star_pairs(lists: DataFrame, percent: int) -> DataFrame:
-    """For each id the pivot of another component that it shares most values with."""
-    pivot = lists.where("own").groupBy("v", "c").agg(F.min(F.struct("root", "id", "n")).alias("p"))
-    rows = lists.join(pivot, ["v", "c"]).where(F.col("root") != F.col("p.root"))
-    pairs = enough(rows.select(F.col("p.id").alias("a"), F.col("id").alias("b"), F.col("p.n").alias("na"), F.col("n").alias("nb")).where(alike("na", "nb", percent)))
+def hubs(lists: DataFrame, percent: int) -> DataFrame:
+    """(a, b, na, nb): for each id b the pivot a that it shares most values with; a list's pivot is the one of the largest lists."""
+    weight = lists.where("own").groupBy("id").agg(F.sum("size").alias("weight"))
+    pivot = lists.where("own").join(weight, "id").groupBy("v", "c").agg(F.max(F.struct("weight", (-F.col("id")).alias("minus"), "n")).alias("p"))
+    rows = lists.join(pivot, ["v", "c"]).where(F.col("id") != -F.col("p.minus"))
+    pairs = enough(rows.select((-F.col("p.minus")).alias("a"), F.col("id").alias("b"), F.col("p.n").alias("na"), F.col("n").alias("nb")).where(alike("na", "nb", percent)))
     best = pairs.groupBy("b").agg(F.max(F.struct("shared", (-F.col("a")).alias("minus"), "na", "nb")).alias("x"))
     return best.select((-F.col("x.minus")).alias("a"), "b", F.col("x.na").alias("na"), F.col("x.nb").alias("nb"))
 
 
-def all_pairs(lists: DataFrame, percent: int) -> DataFrame:
-    """All pairs of one list and of different components."""
-    left = lists.where("own").select("v", "c", F.col("id").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"))
-    right = lists.select("v", "c", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"), "own")
-    found = left.join(right, ["v", "c"]).where((F.col("ra") != F.col("rb")) & (~F.col("own") | (F.col("a") < F.col("b"))))
-    return enough(found.where(alike("na", "nb", percent)).select("a", "b", "na", "nb")).drop("shared")
+def spanning_links(ids: list[int], sets: list[np.ndarray], first: int, percent: int) -> list[tuple[int, int]]:
+    """Links that join all of these that similar ones join. With first > 0 only pairs of one of the first ones and a later one count."""
+    sizes = np.array([len(x) for x in sets])
+    order = np.argsort(-sizes[:first], kind="stable") if first else np.arange(len(ids))
+    values, codes = np.unique(np.concatenate(sets), return_inverse=True)
+    ends = np.cumsum(sizes)
+    root = list(range(len(ids)))
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    out, member = [], np.zeros(len(values), bool)
+    for x in order.tolist():
+        low = first or x + 1
+        if low >= len(ids):
+            continue
+        own = codes[ends[x] - sizes[x] : ends[x]]
+        member[own] = True
+        start = ends[low] - sizes[low]
+        common = np.add.reduceat(member[codes[start:]].astype(np.int64), ends[low:] - sizes[low:] - start)
+        member[own] = False
+        for y in (np.flatnonzero(100 * common >= percent * (sizes[x] + sizes[low:] - common)) + low).tolist():
+            a, b = find(x), find(y)
+            if a != b:
+                root[b] = a
+                out.append((ids[x], ids[y]))
+    return out
+
+
+def linked_in_groups(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) within the groups of hubs: of each group all pairs are compared, a task holds two blocks."""
+    members = pairs.select(F.col("a").alias("g"), F.col("b").alias("id")).union(pairs.select(F.col("a").alias("g"), F.col("a").alias("id")).distinct())
+    counted = members.join(members.groupBy("g").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "g")
+    # Block k meets blocks of lower numbers and itself.
+    own = counted.withColumn("k", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.greatest("k", j).alias("hi"), F.least("k", j).alias("lo")))
+    dealt = own.join(sets, "id").select("g", "id", "set", "k", F.explode(meets).alias("m"))
+
+    def compare(table: pa.Table) -> pa.Table:
+        hi = table.column("hi")[0].as_py()
+        rows = sorted(zip(table.column("k").to_pylist(), table.column("id").to_pylist(), (x.values.to_numpy() for x in table.column("set")), strict=True), key=lambda r: (r[0] != hi, r[1]))
+        first = sum(k == hi for k, _, _ in rows) % len(rows)  # one block alone: all its pairs
+        links = spanning_links([i for _, i, _ in rows], [x for _, _, x in rows], first, percent)
+        return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
+
+    return dealt.select("g", "id", "set", "k", "m.hi", "m.lo").groupBy("g", "hi", "lo").applyInArrow(compare, "a long, b long")
+
+
+def all_pairs(lists: DataFrame, roots: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
+    """All pairs of one list that are of different components and of different groups."""
+    own = lists.join(roots, "id", "left").join(groups, "id", "left").withColumns({"root": F.coalesce("root", "id"), "g": F.coalesce("g", "id")})
+    ends = [F.expr(f"{f}({x})").alias(f"{f}_{x}") for x in ("root", "g") for f in ("min", "max")]
+    mixed = own.groupBy("v", "c").agg(*ends, F.max("own").alias("any")).where("min_root < max_root AND min_g < max_g AND any").select("v", "c")
+    rows = own.join(mixed, ["v", "c"])
+    left = rows.where("own").select("v", "c", F.col("id").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"), F.col("g").alias("ga"))
+    right = rows.select("v", "c", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"), F.col("g").alias("gb"), "own")
+    found = left.join(right, ["v", "c"]).where((F.col("ra") != F.col("rb")) & (F.col("ga") != F.col("gb")) & (~F.col("own") | (F.col("a") < F.col("b"))) & alike("na", "nb", percent))
+    return enough(found.select("a", "b", "na", "nb")).drop("shared")
 
 
 def estimated(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -178,7 +227,6 @@ def full_sets(docs: DataFrame, pairs: DataFrame, n: int) -> DataFrame:
 
 def confirmed(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
     """Pairs (a, b) whose full sets are similar enough."""
-    pairs = written(pairs, "near-pairs")
     sets = written(full_sets(docs, pairs, n), "near-sets")
     both = pairs.join(sets.withColumnsRenamed({"id": "b", "set": "sb"}), "b").join(sets.withColumnsRenamed({"id": "a", "set": "sa"}), "a")
     common = F.size(F.array_intersect("sa", "sb"))
@@ -207,15 +255,12 @@ def components(edges: DataFrame) -> DataFrame:
 def links(docs: DataFrame, nodes: DataFrame, n: int, percent: int) -> DataFrame:
     """id and root of all representatives that are linked with another."""
     lists = inverted_lists(nodes, percent)
-    roots = None
-    for step in range(STARS + 1):
-        rows = labelled(lists, roots)
-        pairs = star_pairs(rows, percent) if step < STARS else all_pairs(rows, percent)
-        edges = confirmed(estimated(pairs, nodes), docs, n, percent)
-        if roots is not None:
-            edges = edges.union(roots.select(F.col("id").alias("a"), F.col("root").alias("b")))
-        roots = components(edges)
-    return roots
+    pairs = written(estimated(hubs(lists, percent), nodes), "near-hubs")
+    sets = written(full_sets(docs, pairs, n), "near-sets")
+    roots = components(linked_in_groups(pairs, sets, percent))
+    groups = pairs.select(F.col("b").alias("id"), F.col("a").alias("g"))
+    rest = written(estimated(all_pairs(lists, roots, groups, percent), nodes), "near-pairs")
+    return components(confirmed(rest, docs, n, percent).union(roots.select(F.col("id").alias("a"), F.col("root").alias("b"))))
 
 
 def dedup(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
