@@ -137,6 +137,43 @@ def test_suffix_tree(spark):
     assert suffix_tree.score(docs(spark, EMPTY)).count() == 0
 
 
+@pytest.mark.parametrize("held", [0, 1 << 20])
+def test_contexts_of_three_classes_score(spark, monkeypatch, held):
+    """Against a plain tree of dicts; the third class before a word tells it, two don't."""
+    monkeypatch.setattr(suffix_tree, "HELD_GRAMS", held)
+    rng = np.random.default_rng(5)
+    texts = ["".join(f"{a} mm nn {b} " for a, b in [("aa", "xx") if rng.random() < 0.5 else ("bb", "yy") for _ in range(12)]) + f"w{k % 4}" for k in range(120)]
+    got = {r.doc_id: r for r in suffix_tree.score(docs(spark, [(k, t, *ODD[0][2:]) for k, t in enumerate(texts)])).collect()}
+    streams = [suffix_tree.stream(lower_words(t)) for t in texts]
+    seen, classes = defaultdict(Counter), defaultdict(Counter)
+    for k, t in enumerate(streams):
+        if not got[k].held_out:
+            for j in range(3, len(t)):
+                for d in range(4):
+                    seen[t[j - d : j]][t[j]] += 1
+            for w, c in zip([*lower_words(texts[k]), b"\n"], t[3:], strict=True):
+                classes[c][w] += 1
+    share = lambda c, s: seen[c][s] / seen[c].total()
+    kept = {c for c, n in list(seen.items()) if c and n.total() >= 32 and sum(m * math.log(share(c, s) / share(c[1:], s)) for s, m in n.items()) >= 24}
+    assert sum(len(c) == 3 for c in kept) >= 2
+    kept |= {c[j:] for c in kept for j in range(len(c) + 1)}
+
+    def p(c, s):
+        while c not in kept:
+            c = c[1:]
+        n = seen[c]
+        if not c:
+            return (n[s] + 0.5) / (n.total() + 128)
+        return max(0, n[s] - 0.5) / n.total() + 0.5 * len(n) / n.total() * p(c[1:], s)
+
+    for k, t in enumerate(streams):
+        want = 0.0
+        for j, w in zip(range(3, len(t)), [*lower_words(texts[k]), b"\n"], strict=True):
+            of = classes[t[j]]
+            want += math.log10(p(t[j - 3 : j], t[j]) * (of[w] + 0.5) / (of.total() + 0.5 * (len(of) + 1)))
+        assert math.isclose(got[k].score, want, rel_tol=1e-5), k
+
+
 def test_automaton_follows_the_longest_suffix():
     rng = np.random.default_rng(1)
     texts = [suffix_tree.stream([b"%c" % c for c in rng.choice(list(b"abcd"), 40, p=[0.6, 0.2, 0.1, 0.1])]) for _ in range(30)]
