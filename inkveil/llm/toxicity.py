@@ -7,7 +7,8 @@ together within a class are correlated: each counts by 1 / (1 + sum of its posit
 on the votes and on how many voters vote is then fitted to the posterior labels. It scores every text.
 
 The classifier is fitted on a bounded sample of labelled texts: at most MAX_TOXIC and MAX_CLEAN, those with the
-smallest hash of their id.
+smallest hash of their id. A sampled text of a class counts as often as that class has labelled texts for each sampled one
+(scaled to 1 on average), so voters, priors and the intercept follow the shares of all labels, whatever the size of the input.
 
 Cases: a null or empty text has no votes, its score is the intercept's. Equal texts have equal scores. Without labelled
 texts the lexicon decides by prior rates. Whole texts are read. Repeated or contradicting labels of an id count as
@@ -97,8 +98,17 @@ class Voters:
         return found
 
 
-def mine(sample: DataFrame) -> list[tuple[int, bytes]]:
-    """Words and beginnings whose texts are toxic far more often than all, of a sample (words, toxic); MAX_MINED at most."""
+def class_weights(labels: DataFrame) -> tuple[float, float]:
+    """What a clean and a toxic text of the sample count for, by all labels (doc_id, toxic: once an id); 1 on average."""
+    found = {int(r.toxic): r["count"] for r in labels.groupBy("toxic").count().collect()}
+    numbers = [found.get(y, 0) for y in (0, 1)]
+    sampled = [min(n, most) for n, most in zip(numbers, (MAX_CLEAN, MAX_TOXIC), strict=True)]
+    clean, toxic = (n / m * sum(sampled) / sum(numbers) if m else 1.0 for n, m in zip(numbers, sampled, strict=True))
+    return clean, toxic
+
+
+def mine(sample: DataFrame, each: tuple[float, float] = (1.0, 1.0)) -> list[tuple[int, bytes]]:
+    """Words and beginnings whose texts are toxic far more often than all, of a sample (words, toxic) whose clean and toxic texts weigh `each`; MAX_MINED at most."""
 
     def count(batches):
         both: list[Counter] = [Counter(), Counter()]
@@ -115,27 +125,32 @@ def mine(sample: DataFrame) -> list[tuple[int, bytes]]:
                 sizes, texts = zip(*keys, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(sizes, pa.int32()), pa.array(texts, pa.binary()), pa.array(n if y else [0] * len(n), pa.int64()), pa.array([0] * len(n) if y else n, pa.int64())], ["size", "part", "toxic", "clean"])
 
-    share = sample.agg(F.avg("toxic").alias("share")).first().share
-    if not share or share == 1:
+    n, toxic = sample.agg(F.count("*"), F.sum("toxic")).first()
+    if not toxic or toxic == n:
         return []
+    share = toxic * each[1] / (toxic * each[1] + (n - toxic) * each[0])
     found = sample.mapInArrow(count, "size int, part binary, toxic long, clean long").groupBy("size", "part").agg(F.sum("toxic").alias("a"), F.sum("clean").alias("b"))
-    precision = F.col("a") / (F.col("a") + F.col("b"))
-    nats = F.col("a") * F.log(precision / share) + F.when(F.col("b") > 0, F.col("b") * F.log((1 - precision) / (1 - share))).otherwise(0.0)
+    a, b = F.col("a") * each[1], F.col("b") * each[0]
+    precision = a / (a + b)
+    nats = a * F.log(precision / share) + F.when(F.col("b") > 0, b * F.log((1 - precision) / (1 - share))).otherwise(0.0)
     best = found.where((F.col("a") >= MIN_TEXTS) & (precision >= max(MIN_PRECISION, share)) & (nats >= MIN_NATS)).orderBy(F.desc(nats), "size", "part").limit(MAX_MINED)
     return [(r.size, bytes(r.part)) for r in best.select(F.col("size"), "part").collect()]
 
 
-def label_model(votes: np.ndarray, labels: np.ndarray, steps: int = 25) -> tuple[np.ndarray, np.ndarray]:
-    """Posterior of each text (row) and weight of each voter (column) from votes of 0 and 1, and the given labels."""
+def label_model(votes: np.ndarray, labels: np.ndarray, steps: int = 25, each: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Posterior of each text (row) and weight of each voter (column) from votes of 0 and 1, the given labels, and what each text counts for (1 unless given)."""
     n, m = votes.shape
+    each = np.ones(n) if each is None else each
     given = np.where(labels == 1, math.log(LABEL_ACCURACY / (1 - LABEL_ACCURACY)), -math.log(LABEL_ACCURACY / (1 - LABEL_ACCURACY)))
     posterior = 1 / (1 + np.exp(-given))
     weight = np.ones(m)
     for step in range(steps):
-        mass = np.array([posterior.sum(), (1 - posterior).sum()])
-        rates = np.stack([(posterior @ votes + START_TOXIC) / (mass[0] + 1), ((1 - posterior) @ votes + START_CLEAN) / (mass[1] + 1)])
+        toxic, clean = each * posterior, each * (1 - posterior)
+        mass = np.array([toxic.sum(), clean.sum()])
+        rates = np.stack([(toxic @ votes + START_TOXIC) / (mass[0] + 1), (clean @ votes + START_CLEAN) / (mass[1] + 1)])
         if step == 5:  # accuracies have settled: how far voters repeat each other within a class
             residual = votes - (posterior[:, None] * rates[0] + (1 - posterior)[:, None] * rates[1]).astype(np.float32)
+            residual *= np.sqrt(each, dtype=np.float32)[:, None]
             norm = np.sqrt((residual**2).sum(0)) + 1e-9
             together = (residual.T @ residual) / norm[:, None] / norm
             np.fill_diagonal(together, 0)
@@ -153,27 +168,28 @@ def counted(votes: np.ndarray) -> np.ndarray:
     return np.concatenate([votes, n >= 1, n >= 2, n >= 3], axis=1).astype(np.float32)
 
 
-def fit_linear(features: np.ndarray, target: np.ndarray) -> np.ndarray:
-    """Weights and, last, the intercept of a ridge logistic regression on soft labels, by accelerated gradient steps."""
+def fit_linear(features: np.ndarray, target: np.ndarray, each: np.ndarray | None = None) -> np.ndarray:
+    """Weights and, last, the intercept of a ridge logistic regression on soft labels, by accelerated gradient steps; each: what a text counts for (1 unless given)."""
+    each = np.ones(len(features)) if each is None else each
     x = np.concatenate([features, np.ones((len(features), 1), np.float32)], axis=1)
     w = before = np.zeros(x.shape[1])
-    w[-1] = before[-1] = math.log((target.sum() + 0.5) / ((1 - target).sum() + 0.5))
+    w[-1] = before[-1] = math.log((each @ target + 0.5) / (each @ (1 - target) + 0.5))
     rate = 4 / (float((x**2).sum(1).max()) + RIDGE)
-    rate = max(rate, 4 / (_norm(x) + RIDGE))
+    rate = max(rate, 4 / (_norm(x, each) + RIDGE))
     for k in range(STEPS):
         ahead = w + k / (k + 3) * (w - before)
         p = 1 / (1 + np.exp(-np.clip(x @ ahead, -30, 30)))
-        slope = x.T @ (p - target) / len(x) + RIDGE * np.append(ahead[:-1], 0)
+        slope = x.T @ (each * (p - target)) / each.sum() + RIDGE * np.append(ahead[:-1], 0)
         before, w = w, ahead - rate * slope
     return w
 
 
-def _norm(x: np.ndarray) -> float:
-    """The largest eigenvalue of x'x / n, by power steps."""
+def _norm(x: np.ndarray, each: np.ndarray) -> float:
+    """The largest eigenvalue of x'x / n with rows weighed by each, by power steps."""
     v = np.ones(x.shape[1]) / math.sqrt(x.shape[1])
     value = 1.0
     for _ in range(20):
-        v = x.T @ (x @ v) / len(x)
+        v = x.T @ (each * (x @ v)) / each.sum()
         value = float(np.linalg.norm(v)) or 1.0
         v /= value
     return value * 1.05
@@ -181,8 +197,10 @@ def _norm(x: np.ndarray) -> float:
 
 def train(docs: DataFrame, labels: DataFrame) -> tuple[Voters, np.ndarray]:
     """The voters, and their weights; labels: doc_id and toxic."""
+    labels = once(labels)
     texts = written(sample(docs, labels), "toxic-sample")
-    voters = Voters(mine(texts))
+    by_class = class_weights(labels)
+    voters = Voters(mine(texts, by_class))
     sent = docs.sparkSession.sparkContext.broadcast(voters)
 
     def vote(batches):
@@ -201,8 +219,9 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[Voters, np.ndarray]:
     votes = np.zeros((len(rows), voters.count), np.float32)
     for k, (_, own) in enumerate(rows):
         votes[k, own] = 1
-    posterior, _ = label_model(votes, given)
-    return voters, fit_linear(counted(votes), posterior)
+    each = np.array(by_class)[given.astype(int)]
+    posterior, _ = label_model(votes, given, each=each)
+    return voters, fit_linear(counted(votes), posterior, each)
 
 
 def score_of(voters: Voters, weights: list[float], words: set[bytes]) -> float:
@@ -212,10 +231,14 @@ def score_of(voters: Voters, weights: list[float], words: set[bytes]) -> float:
     return 1 / (1 + math.exp(-max(-30.0, min(30.0, odds))))
 
 
+def once(labels: DataFrame) -> DataFrame:
+    """doc_id and toxic, a row an id."""
+    return labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+
+
 def sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """words (distinct, joined by spaces) and toxic of the bounded sample."""
-    once = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    some = [once.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for y, n in ((1, MAX_TOXIC), (0, MAX_CLEAN))]
+    """words (distinct, joined by spaces) and toxic of the bounded sample; labels: a row an id."""
+    some = [labels.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for y, n in ((1, MAX_TOXIC), (0, MAX_CLEAN))]
 
     def shorten(batches):
         for batch in batches:

@@ -422,3 +422,18 @@ def test_toxicity(spark):
     bare = {r.doc_id: r.predicted for r in toxicity.score(docs(spark, [(1, "you stupid idiot", *ODD[0][2:]), (2, "hello", *ODD[0][2:])]), spark.createDataFrame([], "doc_id long, toxic int")).collect()}
     assert bare == {1: 1, 2: 0}
     assert toxicity.score(docs(spark, EMPTY), spark.createDataFrame(labels, "doc_id long, toxic int")).count() == 0
+
+
+def test_verdicts_keep_to_the_true_share_of_toxic_texts(spark, monkeypatch):
+    """One text of ten is toxic; a word that a fifth of its texts are toxic by stays under the threshold, however the classes are sampled."""
+    rng = np.random.default_rng(4)
+    rows = [(k, " ".join([*rng.choice([f"word{j}" for j in range(50)], 8), "clown" if k % 10 < 5 else "quiet"]), "en", "a", 1, None, None) for k in range(1200)]
+    labels = spark.createDataFrame([(k, int(k % 10 == 0)) for k in range(1200)], "doc_id long, toxic int")
+    probe = [(9000, "a clown there", *ODD[0][2:]), (9001, "a quiet day", *ODD[0][2:])]
+    scores = lambda: {r.doc_id: r for r in toxicity.score(docs(spark, rows + probe), labels).collect() if r.doc_id >= 9000}
+    whole = scores()
+    monkeypatch.setattr(toxicity, "MAX_TOXIC", 100)
+    monkeypatch.setattr(toxicity, "MAX_CLEAN", 120)
+    part = scores()
+    assert whole[9000].predicted == part[9000].predicted == 0
+    assert all(abs(whole[k].score - part[k].score) < 0.06 for k in (9000, 9001)), (whole, part)
