@@ -329,12 +329,17 @@ def ocr_distance_pairs(spark, sf_dir):
     return own.select("raw", F.inline(near("raw")))
 
 
+def _close_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All words of damaged records that are redacted as names."""
+    damaged = pages.records(spark, sf_dir).withColumn("text", F.translate("text", "AO", "40").cast("string"))
+    found = detect.detect(damaged.withColumn("page", F.col("record_id")), pages.subjects(spark, sf_dir), ("page",), "subject_id", ("names",))
+    return report.close_forms(found, "page")
+
+
 @query()
 def close_forms_topk(spark, sf_dir):
-    """Words of damaged records that are redacted as names, by count."""
-    damaged = pages.records(spark, sf_dir).where("record_id % 3 = 0").withColumn("text", F.translate("text", "AO", "40").cast("string"))
-    found = detect.detect(damaged.withColumn("page", F.col("record_id")), pages.subjects(spark, sf_dir), ("page",), "subject_id", ("names",))
-    return report.close_forms(found, "page").limit(20)
+    """The first 20 words of damaged records that are redacted as names, by count."""
+    return _close_forms(spark, sf_dir).limit(20)
 
 
 @query()

@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from inkveil import queries as engine
 from inkveil.functions import text as T
+from inkveil.functions.page import Page
 from inkveil.operators import report, spans
+from inkveil.operators.detect import AS_OF_YEAR, Profile, detector
 from inkveil.plans.redaction import redact
 from inkveil.sources import pages
 from inkveil.streaming.stream import redact_stream
@@ -107,3 +109,21 @@ def test_queries_fit_their_sql(spark, name):
     assert sorted(want.column_names) == sorted(got.column_names)
     rows = lambda t: sorted(repr([round(v, 9) if isinstance(v, float) else v for v in r]) for r in zip(*(t.column(c).to_pylist() for c in sorted(t.column_names)), strict=True))
     assert [re.sub(r"\b(\d+)\.0\b", r"\1", x) for x in rows(want)] == [re.sub(r"\b(\d+)\.0\b", r"\1", x) for x in rows(got)]
+
+
+def plain_close_forms(spark):
+    """The pages of each close form, by the detector page by page in plain Python."""
+    who = {r.subject_id: Profile.of(r.asDict()) for r in pages.subjects(spark, SF).collect()}
+    seen: dict = {}
+    for r in pages.records(spark, SF).collect():
+        for form in detector(who.get(r.subject_id, Profile()), AS_OF_YEAR).run(Page(r.text.translate(str.maketrans("AO", "40"))), ("names",))[1]:
+            seen.setdefault(form, []).append(r.record_id)
+    return seen
+
+
+def test_close_forms_are_of_all_records(spark):
+    seen = plain_close_forms(spark)
+    assert any(p % 3 for own in seen.values() for p in own)
+    got = engine.close_forms_topk(spark, SF).collect()
+    assert all((r["count"], r.pages) == (len(seen[r.form]), sorted(set(seen[r.form]))) for r in got)
+    assert [r["count"] for r in got] == sorted(map(len, seen.values()), reverse=True)[:20]
