@@ -346,7 +346,7 @@ def close_forms_topk(spark, sf_dir):
 def report_lines(spark, sf_dir):
     own = pages.records(spark, sf_dir)
     run = gate.checked(own).agg(F.lit("records").alias("file_name"), F.count("*").alias("page_count"), F.array_sort(F.collect_list(F.when(F.col("low_text"), F.col("record_id")))).alias("low_text_pages"), F.array_sort(F.collect_list(F.when(F.col("chars") == 0, F.col("record_id")))).alias("blank_pages"))
-    return report.report_lines(run, report.counts(_hits(spark, sf_dir)), close_forms_topk(spark, sf_dir))
+    return report.report_lines(run, report.counts(_hits(spark, sf_dir)), _close_forms(spark, sf_dir))
 
 
 _BOX = "array(l_partkey % 50, l_suppkey % 20, l_partkey % 50 + l_quantity, l_suppkey % 20 + 12)"

@@ -127,3 +127,10 @@ def test_close_forms_are_of_all_records(spark):
     got = engine.close_forms_topk(spark, SF).collect()
     assert all((r["count"], r.pages) == (len(seen[r.form]), sorted(set(seen[r.form]))) for r in got)
     assert [r["count"] for r in got] == sorted(map(len, seen.values()), reverse=True)[:20]
+
+
+def test_report_tells_of_forms_beyond_its_lines(spark, monkeypatch):
+    forms = spark.createDataFrame([(f"F0RM{k:02}", 100 - k, [1, 2]) for k in range(25)], "form string, count long, pages array<long>")
+    monkeypatch.setattr(report, "close_forms", lambda *_: forms)
+    got = [r.text for r in engine.report_lines(spark, SF).where("section = 'close forms'").orderBy("line_no").collect()]
+    assert got == [f'"F0RM{k:02}": {100 - k} on pages 1–2' for k in range(20)] + ["…and 5 more"]
