@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkveil.llm import mixing, near_dup, packing, quality_rules, toxicity
-from inkveil.llm.common import bucket_of, table, written
+from inkveil.llm.common import bucket_of, table, text_of, written
 from inkveil.llm.tokens import vocabulary_file
 
 VOCABULARY = "word_bpe_49k.json"
@@ -31,9 +31,15 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each group of near-duplicates, by shingles of five words and a similarity of 0.8."""
+    """The first document of each group of near-duplicates, by shingles of five words and a similarity of 0.8.
+
+    Rows of equal doc_ids are one document: of those of a kept id the one with the smallest hash of its text stays (among equal hashes, of all its columns). Rows without a doc_id all stay."""
     kept = near_dup.dedup(docs, n=5, percent=80).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(kept["_kept"]), "left_semi")
+    rows = docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(kept["_kept"]), "left_semi")
+    order = F.struct(F.xxhash64(text_of(F.col("text"))), F.xxhash64(*docs.columns))
+    no_id = F.col("doc_id").cast("long").isNull()
+    once = rows.where(~no_id).groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.min_by(F.struct(*docs.columns), order).alias("own")).select("own.*")
+    return once.unionByName(rows.where(no_id))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -14,6 +14,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+import corpus_pipeline
 from inkveil.llm import bloom_lookup, mixing, near_dup, packing, quality_rules, suffix_tree, token_planes, toxicity, url_filter, warc
 from inkveil.llm.common import LOWER
 from inkveil.llm.tokens import encoder, vocabulary_file
@@ -437,3 +438,14 @@ def test_verdicts_keep_to_the_true_share_of_toxic_texts(spark, monkeypatch):
     part = scores()
     assert whole[9000].predicted == part[9000].predicted == 0
     assert all(abs(whole[k].score - part[k].score) < 0.06 for k in (9000, 9001)), (whole, part)
+
+
+def test_the_near_duplicate_stage_gives_one_row_an_id(spark):
+    rows = [(1, BASE, *ODD[0][2:]), (1, BASE, *ODD[0][2:]), (1, "an other text of the same id", *ODD[0][2:]), (2, BASE, *ODD[0][2:]), (3, "x y z", *ODD[0][2:]), (None, "no id", *ODD[0][2:]), (None, "none either", *ODD[0][2:])]
+    all_docs = docs(spark, rows)
+    kept = {r.doc_id for r in near_dup.dedup(all_docs, n=5, percent=80).where("kept").collect()}
+    hashes = {(r.doc_id, r.text): r.h for r in all_docs.withColumn("h", F.xxhash64("text")).collect()}
+    got = corpus_pipeline.drop_near_duplicates(spark, all_docs, "").collect()
+    assert got and got[0].asDict().keys() == set(all_docs.columns)
+    want = [min((x for x in hashes if x[0] == k), key=hashes.get) for k in kept - {None}] + [x for x in hashes if x[0] is None]
+    assert sorted(repr((r.doc_id, r.text)) for r in got) == sorted(map(repr, want))
