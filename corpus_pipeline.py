@@ -60,7 +60,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("packing", pack),
 ]
 
-#: Trained models and the tokenizer have no SQL; tests hold run() against a brute-force version.
+#: Trained models and the tokenizer have no SQL. Tests hold the operators, and the near-duplicate stage, against brute force; no test covers run() or the other stages.
 ORACLE_SQL = None
 
 
