@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,6 +39,24 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(schema).parquet(path)
 
 
+#: Bytes of text in a slice of a batch.
+SLICE_BYTES = 1 << 20
+
+
+def slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of at most so many bytes of a text column, or of one row: what a worker holds doesn't hang on the rows of a batch."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < batch.num_rows:
+            before = int(ends[at - 1]) if at else 0
+            to = max(at + 1, int(np.searchsorted(ends, before + most_bytes, side="right")))
+            yield batch.slice(at, to - at)
+            at = to
+
+
 def remove(spark: SparkSession, *paths: str) -> None:
     """Deletes folders of the shared file system."""
     jvm = spark._jvm

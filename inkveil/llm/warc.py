@@ -26,12 +26,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkveil.llm.common import scratch_path, written
+from inkveil.llm.common import remove_written, scratch_path, written
 
 #: Records in an archive at most: what a run holds.
 FILE_RECORDS = 4000
-#: Captures of a merged range on average, and keys sampled to find the ranges' boundaries.
-RANGE_ROWS, SAMPLE = 20_000, 20_000
+#: Bytes of payloads in an archive at most, unless a single one has more.
+FILE_BYTES = 1 << 29
+#: Groups of more copies than this, and than that part of all copies, are spread over tasks.
+LARGE_ROWS, MAX_LARGE = 1000, 10_000
+#: Captures of a merged range on average; keys sampled to find a range's boundary, and in all, at most; characters of a key in a boundary.
+RANGE_ROWS, RANGE_SAMPLE, MAX_SAMPLE, KEY_CHARS = 20_000, 32, 1_000_000, 200
 #: Time of capture where none is given: this second plus the page_id.
 FIRST_SECOND = 1_704_067_200
 
@@ -46,19 +50,36 @@ def base32_sha1(payload: Column) -> Column:
     return F.translate(F.concat(*parts), "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
 
 
-def records(pages: DataFrame, min_bytes: int = 0, second: Column | None = None) -> DataFrame:
-    """value: the text of each page's record, without the line breaks at its end."""
+def prepared(pages: DataFrame, second: Column | None = None) -> DataFrame:
+    """page_id, url, payload, stamp, digest, n (bytes)."""
     second = F.coalesce(second if second is not None else F.lit(FIRST_SECOND) + F.pmod("page_id", F.lit(1 << 28)), F.lit(FIRST_SECOND))
     stamp = F.date_format(F.to_utc_timestamp(F.timestamp_seconds(second), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")
     payload = F.coalesce(F.col("html").cast("string"), F.lit(""))
-    own = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", payload.alias("payload"), stamp.alias("stamp"))
-    own = own.withColumn("digest", base32_sha1(F.col("payload").cast("binary"))).withColumn("n", F.octet_length("payload"))
-    kept = own.where(F.col("n") >= min_bytes).groupBy("digest", "n").agg(F.max("page_id").alias("kept"))
-    own = own.join(kept, ["digest", "n"], "left")
+    own = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"), stamp.alias("stamp"))
+    return own.withColumn("n", F.octet_length("payload")).withColumn("digest", base32_sha1(F.col("payload").cast("binary")))
+
+
+def with_kept(own: DataFrame, copies: DataFrame) -> DataFrame:
+    """own with `kept`, the page_id that its copies refer to, or null for a payload without copies.
+
+    Large groups of copies, MAX_LARGE at most by their share of all rows, are broadcast, so their rows are spread over the join's tasks by a hash."""
+    total = copies.agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("n")).first().n
+    large = F.col("rows") > max(LARGE_ROWS, total // MAX_LARGE)
+    named = lambda df, name: df.select(F.col("digest").alias(f"d_{name}"), F.col("n").alias(f"n_{name}"), F.col("kept").alias(f"kept_{name}"))
+    at_once, others = named(copies.where(large), "large"), named(copies.where(~large), "small")
+    first = own.join(F.broadcast(at_once), (F.col("digest") == F.col("d_large")) & (F.col("n") == F.col("n_large")), "left")
+    spread = first.withColumn("salt", F.when(F.col("d_large").isNull(), 0).otherwise(F.xxhash64("page_id", "url")))
+    found = spread.join(others.withColumn("none", F.lit(0).cast("long")), (F.col("digest") == F.col("d_small")) & (F.col("n") == F.col("n_small")) & (F.col("salt") == F.col("none")), "left")
+    return found.select(*own.columns, F.coalesce("kept_large", "kept_small").alias("kept"))
+
+
+def records(own: DataFrame) -> DataFrame:
+    """value: the text of each page's record, without the line breaks at its end; own: as with_kept() gives it."""
     revisit = F.coalesce(F.col("page_id") != F.col("kept"), F.col("kept").isNotNull())
     uri = F.regexp_replace("url", "[\\x00-\\x20\\x7F]", "%20")
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("n"), F.lit("\r\n\r\n"))
-    block = F.when(revisit, http).otherwise(F.concat(http, "payload"))
+    body = F.when(revisit, F.lit("")).otherwise(F.col("payload"))
+    size = F.octet_length(http) + F.when(revisit, 0).otherwise(F.col("n"))
     ident = lambda c: F.concat(F.lit("<urn:x-page:"), F.coalesce(c.cast("string"), F.lit("none")), F.lit(">"))
     head = F.concat_ws(
         "\r\n",
@@ -70,13 +91,28 @@ def records(pages: DataFrame, min_bytes: int = 0, second: Column | None = None)
         F.concat(F.lit("WARC-Payload-Digest: sha1:"), "digest"),
         F.when(revisit, F.concat(F.lit("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest\r\nWARC-Refers-To: "), ident(F.col("kept")))),
         F.lit("Content-Type: application/http;msgtype=response"),
-        F.concat(F.lit("Content-Length: "), F.octet_length(block)),
+        F.concat(F.lit("Content-Length: "), size),
     )
-    return own.select(F.concat(head, F.lit("\r\n\r\n"), block).alias("value"))
+    return own.select(F.concat(head, F.lit("\r\n\r\n"), http, body).alias("value"))
 
 
-def write_archives(pages: DataFrame, path: str, file_records: int = FILE_RECORDS, **options) -> None:
-    records(pages, **options).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", file_records).text(path)
+def write_archives(pages: DataFrame, path: str, file_records: int = FILE_RECORDS, min_bytes: int = 0, second: Column | None = None, file_bytes: int = FILE_BYTES) -> None:
+    """Archives of at most file_records records, and of at most file_bytes bytes of payloads or a single record."""
+    own, above, most = prepared(pages, second), -1, max(1, file_bytes // file_records)
+    groups = own.groupBy("digest", "n").agg(F.max(F.when(F.col("n") >= min_bytes, F.col("page_id"))).alias("kept"), F.count("*").alias("rows"))
+    copies = written(groups.where((F.col("rows") > 1) | (F.col("n") > most)), "warc-copies")
+    longest = copies.agg(F.max("n").alias("n")).first().n or 0
+    while True:
+        # Pages of one class of lengths: longer ones go to archives of fewer records.
+        last = longest <= most or file_records == 1
+        part = own.where(F.col("n") > above) if above >= 0 else own
+        part = part if last else part.where(F.col("n") <= most)
+        records(with_kept(part, copies)).write.mode("append").option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", file_records).text(path)
+        if last:
+            break
+        above, file_records = most, max(1, file_records // 4)
+        most = max(most + 1, file_bytes // file_records)
+    remove_written(copies)
 
 
 def read_archive(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -200,9 +236,13 @@ def histories(sorted_runs: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame
     """CAPTURE and order: over all captures it ascends with URL key, time and page_id."""
     keyed = sorted_runs.select("url_key", "captured", "page_id")
     count = keyed.count()
-    sample = keyed.orderBy(F.xxhash64("url_key", "captured", "page_id")).limit(SAMPLE).collect()
+    wanted = -(-count // range_rows)
+    share = min(1.0, min(MAX_SAMPLE, RANGE_SAMPLE * wanted) / max(1, count))
+    chosen = keyed.where(F.pmod(F.xxhash64("url_key", "captured", "page_id"), F.lit(1 << 30)) < round(share * (1 << 30))) if wanted > 1 else keyed.limit(0)
+    # The beginning of a key is a boundary as good as the key.
+    sample = chosen.select(F.substring("url_key", 1, KEY_CHARS).alias("url_key"), "captured", "page_id").collect()
     keys = sorted((r.url_key, r.captured, r.page_id is None, r.page_id or 0) for r in sample)
-    ranges = min(len(keys), -(-count // range_rows)) or 1
+    ranges = min(len(keys), wanted) or 1
     bounds = [keys[k * len(keys) // ranges] for k in range(1, ranges)]
 
     def cut(batches):
