@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -29,17 +31,34 @@ def real_digits(s: Column) -> Column:
     return F.length(F.regexp_replace(s, "[^0-9]", ""))
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def find_all(text: Column, pattern: str) -> Column:
     """All matches as (start, end, s), those that overlap earlier ones too: the search goes on one character behind each match's start."""
     marked = F.regexp_replace(F.regexp_replace(text, f"[{_START}{_END}]", " "), f"(?=({pattern}))", f"{_START}$1{_END}")
-    parts = F.split(marked, _START)
-    match = lambda p: F.substring_index(p, _END, 1)
-    rest = lambda p: F.length(p) - F.length(match(p)) - 1
     none = F.array().cast("array<struct<start:int,end:int,s:string>>")
-    start = F.struct(F.length(F.get(parts, F.lit(0))).alias("at"), none.alias("found"))
-    found = lambda a, p: F.struct(a["at"].alias("start"), (a["at"] + F.length(match(p))).alias("end"), match(p).alias("s"))
-    step = lambda a, p: F.struct((a["at"] + rest(p)).alias("at"), F.concat(a["found"], F.array(found(a, p))).alias("found"))
-    return F.when(F.size(parts) < 2, none).otherwise(F.aggregate(F.slice(parts, 2, F.greatest(F.size(parts), F.lit(2))), start, step, lambda a: a["found"]))
+    found = lambda at, s: F.struct(at.alias("start"), (at + F.length(s)).alias("end"), s.alias("s"))
+    after = lambda a, p, s: F.struct((a["at"] + F.length(p) - F.length(s) - 1).alias("at"), F.concat(a["found"], F.array(found(a["at"], s))).alias("found"))
+    step = lambda a, p: let(F.substring_index(p, _END, 1), lambda s: after(a, p, s))
+    walk = lambda parts: F.aggregate(F.slice(parts, 2, F.greatest(F.size(parts), F.lit(2))), F.struct(F.length(F.get(parts, F.lit(0))).alias("at"), none.alias("found")), step, lambda a: a["found"])
+    return let(F.split(marked, _START), walk)
+
+
+def newlines(s: Column) -> Column:
+    return F.length(s) - F.length(F.replace(s, F.lit("\n"), F.lit("")))
+
+
+def line_end(text: Column, at: Column) -> Column:
+    """Place of the line feed that ends the line of a place, in a page's text."""
+    return F.call_function("locate", F.lit("\n"), text, at + 1) - 1
+
+
+def column_of(text: Column, at: Column) -> Column:
+    """Characters of the line before a place."""
+    return F.length(F.substring_index(F.substring(text, F.lit(1), at), "\n", -1))
 
 
 def page_text(text: Column) -> Column:

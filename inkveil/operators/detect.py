@@ -1,111 +1,142 @@
-"""All detectors over pages, each page with the profile of its subject."""
+"""All detectors over pages, each page with the profile of its subject.
+
+Names and addresses, whose words match under damage, are found in Arrow batches; all else are column expressions.
+"""
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-from functools import lru_cache
+from collections.abc import Callable
+from weakref import WeakKeyDictionary
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkveil.functions import fixed as X
-from inkveil.functions import page as P
-from inkveil.functions.names import NameModel
+from inkveil.functions import dates, fixed, numbers
+from inkveil.functions.addresses import address_models
+from inkveil.functions.arrow import sliced
+from inkveil.functions.names import name_model
+from inkveil.functions.text import page_text
+from inkveil.functions.words import Words
 
 PROFILE = ("full_name", "variants", "initials", "dob", "addresses", "phones", "other_names", "other_addresses", "other_phones")
 #: The order of detectors decides ties between equal spans.
 DETECTORS = ("names", "other_names", "ssn", "dl", "ncic", "account", "dob", "addresses", "other_addresses", "phones", "other_phones")
 #: Two-digit years after this one's are of the last century.
 AS_OF_YEAR = 2026
+#: A detector's hits on a page have numbers from its own multiple of this.
+ORD = 1 << 20
+#: Partitions for each core that pages of fewer files are spread over.
+SPREAD = 4
 
+HITS = "array<struct<cat:string,start:int,end:int,ord:int,initials:string>>"
+_HIT = pa.struct([("cat", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("ord", pa.int32()), ("initials", pa.string())])
+_IN_PYTHON = {"names", "other_names", "addresses", "other_addresses"}
 
-@dataclass(frozen=True)
-class Profile:
-    full_name: str = ""
-    variants: tuple[str, ...] = ()
-    initials: str = ""
-    dob: str = ""
-    addresses: tuple[str, ...] = ()
-    phones: tuple[str, ...] = ()
-    other_names: tuple[str, ...] = ()
-    other_addresses: tuple[str, ...] = ()
-    other_phones: tuple[str, ...] = ()
-
-    @staticmethod
-    def of(row: dict) -> Profile:
-        clean = lambda v: tuple(s for s in ((x or "").strip() for x in v or ()) if s)
-        return Profile(**{k: (clean(row.get(k)) if isinstance(getattr(Profile, k), tuple) else (row.get(k) or "").strip()) for k in PROFILE})
-
-
-class Detector:
-    def __init__(self, profile: Profile, as_of_year: int = AS_OF_YEAR, first_names: frozenset = X.FIRST_NAMES, everyday: frozenset = X.EVERYDAY):
-        self.profile = profile
-        lists = {"first_names": first_names, "everyday": everyday}
-        self.names = NameModel([x for x in (profile.full_name, *profile.variants) if x], "name", profile.initials.upper(), **lists)
-        self.others = NameModel(list(profile.other_names), "other", **lists)
-        self.dob = P.parse_date(profile.dob, as_of_year)
-
-    def run(self, page: P.Page, only: tuple[str, ...] = DETECTORS) -> tuple[list[tuple[int, P.Hit]], list[str]]:
-        """Hits in the detectors' order, numbered, and the close forms of names."""
-        p, close = self.profile, []
-
-        def names() -> list[P.Hit]:
-            hits, forms = self.names.hits(page)
-            close.extend(forms)
-            return hits
-
-        steps = {
-            "names": names,
-            "other_names": lambda: self.others.hits(page)[0],
-            "ssn": lambda: P.find_ssn(page),
-            "dl": lambda: P.find_labelled(page, "dl") + P.find_bare(page, "dl"),
-            "ncic": lambda: P.find_labelled(page, "ncic") + P.find_bare(page, "ncic"),
-            "account": lambda: P.find_labelled(page, "account"),
-            "dob": lambda: P.find_dob(page, self.dob),
-            "addresses": lambda: P.find_addresses(page, list(p.addresses), "address"),
-            "other_addresses": lambda: P.find_addresses(page, list(p.other_addresses), "other"),
-            "phones": lambda: P.find_phones(page, list(p.phones), "phone"),
-            "other_phones": lambda: P.find_phones(page, list(p.other_phones), "other"),
-        }
-        found = [h for name in DETECTORS if name in only for h in steps[name]()]
-        return [(k, h) for k, h in enumerate(found) if h.end > h.start], close
-
-
-@lru_cache(4096)
-def detector(profile: Profile, as_of_year: int) -> Detector:
-    return Detector(profile, as_of_year)
 
+def with_profiles(pages: DataFrame, subjects: DataFrame, on: str | None) -> DataFrame:
+    """pages with the columns of PROFILE as one struct `_who`; null where a page has no subject."""
+    clean = lambda c: F.filter(F.transform(F.coalesce(c, F.array().cast("array<string>")), lambda x: F.trim(x)), lambda x: x != "")
+    kinds = dict(subjects.dtypes)
+    each = [(clean(F.col(c)) if kinds[c].startswith("array") else F.trim(F.coalesce(c, F.lit("")))).alias(c) for c in PROFILE]
+    if on:
+        return pages.join(subjects.select(F.col("subject_id").alias("_subject"), F.struct(*each).alias("_who")), pages[on] == F.col("_subject"), "left").drop("_subject")
+    own = subjects.select(*each).limit(2).collect()
+    if len(own) != 1:
+        raise ValueError(f"all pages have one subject unless `on` tells theirs; there are {len(own) or 'none'}{' or more' if own else ''}")
+    values = [F.lit(list(v)).cast("array<string>") if isinstance(v, list) else F.lit(v) for v in own[0]]
+    return pages.withColumn("_who", F.struct(*[v.alias(c) for v, c in zip(values, PROFILE, strict=True)]))
 
-_HIT = pa.struct([("cat", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("ord", pa.int32()), ("initials", pa.string())])
 
+def spread(pages: DataFrame, keys: tuple[str, ...], on: str | None) -> DataFrame:
+    """pages over enough partitions for all cores, if they come in fewer files than that; a subject's pages in a few of them."""
+    cores = pages.sparkSession.sparkContext.defaultParallelism
+    if pages.isStreaming or len(pages.inputFiles()) >= cores:
+        return pages
+    place = F.pmod(F.xxhash64(*keys), F.lit(SPREAD))
+    return pages.repartition(SPREAD * cores, *([F.col(on), place] if on else map(F.col, keys)))
 
-def detect(pages: DataFrame, subjects: DataFrame, keys: tuple[str, ...], on: str | None = None, only: tuple[str, ...] = DETECTORS, as_of_year: int = AS_OF_YEAR) -> DataFrame:
-    """keys, text, hits (an array of HIT) and close (an array of words) for each page.
 
-    on: the column by which a page finds its subject; None: subjects has one row, for all pages. One pass over the
-    pages in Arrow batches; the profiles come along by the join, which Spark broadcasts if they are few.
-    """
-    profile = F.struct(*PROFILE).alias("profile")
-    if on:
-        joined = pages.join(subjects.select(F.col("subject_id").alias("_subject"), profile), pages[on] == F.col("_subject"), "left")
-        rows = joined.select(*keys, "text", "profile")
-        fixed = None
-    else:
-        fixed = Profile.of(subjects.select(*PROFILE).first().asDict())
-        rows = pages.select(*keys, "text")
+def _fuzzy(rows: DataFrame, only: tuple[str, ...], first_names: frozenset, everyday: frozenset) -> DataFrame:
+    """rows with hits of names and addresses, and close."""
+    steps = [(n, name) for n, name in enumerate(DETECTORS) if name in only and name in _IN_PYTHON]
+    kept = [c for c in rows.columns if c != "_who"]
 
     def run(batches):
-        for batch in batches:
-            texts = batch.column("text").to_pylist()
-            profiles = [fixed] * len(texts) if fixed else [Profile.of(p or {}) for p in batch.column("profile").to_pylist()]
+        for batch in sliced(batches, "text"):
+            who = batch.column("_who").to_pylist()
             hits, close = [], []
-            for text, profile in zip(texts, profiles, strict=True):
-                found, forms = detector(profile, as_of_year).run(P.Page(text or ""), only)
-                hits.append([{"cat": h.cat, "start": h.start, "end": h.end, "ord": k, "initials": h.initials} for k, h in found])
+            for text, p in zip(batch.column("text").to_pylist(), who, strict=True):
+                found, forms = [], []
+                words = Words((text or "") + "\n") if p else None
+                for n, name in steps if p else ():
+                    if name in ("names", "other_names"):
+                        own = name == "names"
+                        entries = tuple(x for x in (p["full_name"], *p["variants"]) if x) if own else tuple(p["other_names"])
+                        spans, inexact = name_model(entries, first_names, everyday).find(words)
+                        cat, initials = ("name", p["initials"].upper()) if own else ("other", None)
+                        forms += inexact if own else []
+                    else:
+                        spans = [s for model in address_models(tuple(p[name])) for s in model.find(words)]
+                        cat, initials = ("address" if name == "addresses" else "other"), None
+                    found += [{"cat": cat, "start": a, "end": b, "ord": n * ORD + k, "initials": initials} for k, (a, b) in enumerate(spans)]
+                hits.append(found)
                 close.append(forms)
-            own = [batch.column(k) for k in keys]
-            yield pa.RecordBatch.from_arrays([*own, batch.column("text"), pa.array(hits, pa.list_(_HIT)), pa.array(close, pa.list_(pa.string()))], [*keys, "text", "hits", "close"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in [*kept, "_who"]), pa.array(hits, pa.list_(_HIT)), pa.array(close, pa.list_(pa.string()))], [*kept, "_who", "_fuzzy", "close"])
+
+    own = rows.select(*kept, "_who")
+    schema = ", ".join(f"`{n}` {t}" for n, t in own.dtypes)
+    return own.mapInArrow(run, f"{schema}, _fuzzy {HITS}, close array<string>")
+
 
-    kinds = ", ".join(f"`{n}` {t}" for n, t in rows.select(*keys, "text").dtypes)
-    return rows.mapInArrow(run, kinds + ", hits array<struct<cat: string, start: int, end: int, ord: int, initials: string>>, close array<string>")
+#: Expressions that were made in a session: making one takes hundreds of calls to the JVM, and they hang on column names alone.
+_MADE: WeakKeyDictionary = WeakKeyDictionary()
+
+
+def _made(spark: SparkSession, key: tuple, make: Callable[[], Column]) -> Column:
+    own = _MADE.setdefault(spark.sparkContext, {})
+    if key not in own:
+        own[key] = make()
+    return own[key]
+
+
+def _numbered(spans: Column, detector: str, cat: str) -> Column:
+    first = DETECTORS.index(detector) * ORD
+    hit = lambda s, k: F.struct(F.lit(cat).alias("cat"), s["start"].alias("start"), s["end"].alias("end"), (k + first).alias("ord"), F.lit(None).cast("string").alias("initials"))
+    return F.transform(spans, hit).cast(HITS)
+
+
+def detect(
+    pages: DataFrame, subjects: DataFrame, keys: tuple[str, ...], on: str | None = None, only: tuple[str, ...] = DETECTORS, as_of_year: int = AS_OF_YEAR,
+    first_names: frozenset = fixed.FIRST_NAMES, everyday: frozenset = fixed.EVERYDAY,
+) -> DataFrame:
+    """keys, text, hits (an array of HIT) and close (an array of words) for each page.
+
+    on: the column by which a page finds its subject; None: subjects has one row, for all pages. One pass over the
+    pages; the profiles come along by the join, which Spark broadcasts if they are few.
+    """
+    spark = pages.sparkSession
+    wanted = dict.fromkeys([*keys, *([on] if on else []), "text"])
+    rows = with_profiles(spread(pages.select(*wanted), keys, on), subjects, on).select(*dict.fromkeys([*keys, "text"]), "_who")
+    in_python = _IN_PYTHON.intersection(only)
+    if in_python:
+        rows = _fuzzy(rows, only, first_names, everyday)
+    else:
+        rows = rows.withColumns({"_fuzzy": F.array().cast(HITS), "close": F.array().cast("array<string>")})
+    text, dated = F.col("_page"), F.col("_dated")
+    rows = rows.withColumn("_page", page_text(F.col("text")))
+    if {"ssn", "dl", "ncic", "dob"}.intersection(only):
+        rows = rows.withColumn("_dates", _made(spark, ("dates",), lambda: dates.dates(text)))
+        rows = rows.withColumn("_dated", _made(spark, ("dated",), lambda: dates.date_spans(text, F.col("_dates"))))
+    who = F.col("_who")
+    steps = {
+        "ssn": lambda: _numbered(numbers.social_security(text, dated), "ssn", "ssn"),
+        "dl": lambda: _numbered(F.concat(numbers.labelled(text, "dl"), numbers.bare(text, dated, "dl")), "dl", "dl"),
+        "ncic": lambda: _numbered(F.concat(numbers.labelled(text, "ncic"), numbers.bare(text, dated, "ncic")), "ncic", "ncic"),
+        "account": lambda: _numbered(numbers.labelled(text, "account"), "account", "account"),
+        "dob": lambda: _numbered(dates.birth_dates(text, F.col("_dates"), dates.entered_date(who["dob"], as_of_year)), "dob", "dob"),
+        "phones": lambda: _numbered(numbers.phones(text, who["phones"]), "phones", "phone"),
+        "other_phones": lambda: _numbered(numbers.phones(text, who["other_phones"]), "other_phones", "other"),
+    }
+    found = F.concat("_fuzzy", *[_made(spark, (name, as_of_year), make) for name, make in steps.items() if name in only])
+    return rows.select(*keys, "text", F.filter(found, lambda h: h["end"] > h["start"]).alias("hits"), "close")

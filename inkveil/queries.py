@@ -5,16 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkveil.functions import fuzzy, jpeg, names, text
-from inkveil.functions.page import find_dates
-from inkveil.operators import detect, gate, report, spans
+from inkveil.functions import addresses, dates, fuzzy, jpeg, names, numbers, text
+from inkveil.operators import boxes, detect, gate, report, spans
 from inkveil.plans.redaction import redact
 from inkveil.schema import CATEGORIES, SUBJECT
 from inkveil.sources import pages
-from inkveil.streaming.stream import collected
+from inkveil.streaming.stream import redacted_at_once, stream_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -35,44 +34,74 @@ def _pick(values: tuple[str, ...], k: str) -> str:
     return f"list_extract([{', '.join(repr(v) for v in values)}], ({k} % {len(values)} + 1)::INTEGER)"
 
 
-_LABELS = [label.replace("'", "''") for label, _ in pages.LABELLED]
-_FIELDS = f"""
-    SELECT o_orderkey AS record_id, o_custkey AS subject_id,
-        upper({_pick(pages.LAST, "o_custkey")}) || ', ' || upper({_pick(pages.FIRST, "o_custkey")}) AS reversed_name,
-        substr({_pick(pages.FIRST, "o_custkey")}, 1, 1) || substr({_pick(pages.LAST, "o_custkey")}, 1, 1) AS initials,
-        lpad((o_custkey % 12 + 1)::VARCHAR, 2, '0') || '/' || lpad((o_custkey % 28 + 1)::VARCHAR, 2, '0') || '/' || (o_custkey % 50 + 1940)::VARCHAR AS dob,
-        lpad((o_orderkey % 899 + 100)::VARCHAR, 3, '0') || '-' || lpad((o_custkey % 80 + 13)::VARCHAR, 2, '0') || '-' || lpad((o_orderkey % 9999 + 1)::VARCHAR, 4, '0') AS ssn,
-        lpad(o_orderkey::VARCHAR, 8, '0') AS mrn, chr((o_custkey % 26 + 65)::INTEGER) || lpad(o_orderkey::VARCHAR, 7, '0') AS dl, 'A' || lpad(o_custkey::VARCHAR, 8, '0') AS cii,
-        (o_custkey % 9000 + 100)::VARCHAR || ' ' || {_pick(pages.STREET, "o_custkey")} || ' Road, ' || {_pick(pages.CITY, "o_custkey")} || ', CA ' || (o_custkey % 9000 + 90000)::VARCHAR AS address,
-        '(' || (o_custkey % 700 + 200)::VARCHAR || ') 555-' || lpad((o_custkey % 10000)::VARCHAR, 4, '0') AS phone,
-        strftime(o_orderdate, '%m/%d/%Y') || ' 1256' AS visit
-    FROM orders WHERE o_orderkey % 211 <> 0 AND o_orderkey % 97 <> 0
-"""
-_CATS = {"reversed_name": "name", "dob": "dob", "ssn": "ssn", "mrn": "account", "dl": "dl", "cii": "ncic", "address": "address", "phone": "phone"}
+def _pad(k: str, n: int) -> str:
+    return f"lpad(({k})::VARCHAR, {n}, '0')"
+
+
+_K, _C = "o_orderkey", "o_custkey"
+_FIRST, _LAST, _CITY, _ZIP = _pick(pages.FIRST, _C), _pick(pages.LAST, _C), _pick(pages.CITY, _C), f"({_C} % 9000 + 90000)::VARCHAR"
+_NUMBER, _AREA, _YEAR = f"({_C} % 9000 + 100)::VARCHAR", f"({_C} % 700 + 200)::VARCHAR", f"({_C} % 50 + 1940)::VARCHAR"
+#: SQL of the parts of records, apart from what pages.record_fields() makes of them.
+_PARTS = {
+    "name": f"{_FIRST} || ' ' || {_LAST}", "reversed_name": f"upper({_LAST}) || ', ' || upper({_FIRST})", "wrapped_name": f"{_FIRST} || chr(10) || {_LAST}", "damaged_name": f"replace(upper({_FIRST} || ' ' || {_LAST}), 'O', '0')",
+    "dob": f"{_pad(f'{_C} % 12 + 1', 2)} || '/' || {_pad(f'{_C} % 28 + 1', 2)} || '/' || {_YEAR}", "long_dob": f"{_pick(pages.MONTH_NAMES, _C)} || ' ' || ({_C} % 28 + 1)::VARCHAR || ', ' || {_YEAR}",
+    "damaged_dob": f"replace({_pad(f'{_C} % 12 + 1', 2)}, '0', 'O') || '/' || {_pad(f'{_C} % 28 + 1', 2)} || '/' || {_YEAR}",
+    "ssn": f"{_pad(f'{_K} % 899 + 100', 3)} || '-' || {_pad(f'{_C} % 80 + 13', 2)} || '-' || {_pad(f'{_K} % 9999 + 1', 4)}", "plain_ssn": f"{_pad(f'{_K} % 899 + 100', 3)} || {_pad(f'{_C} % 80 + 13', 2)} || {_pad(f'{_K} % 9999 + 1', 4)}",
+    "masked_ssn": f"'XXX-XX-' || {_pad(f'{_K} % 9999 + 1', 4)}", "damaged_ssn": f"{_pad(f'{_K} % 899 + 100', 3)} || '-' || {_pad(f'{_C} % 80 + 13', 2)} || '-' || replace(replace({_pad(f'{_K} % 9999 + 1', 4)}, '0', 'O'), '1', 'l')",
+    "mrn": _pad(_K, 8), "dl": f"chr(({_C} % 26 + 65)::INTEGER) || {_pad(_K, 7)}", "cii": f"'A' || {_pad(_C, 8)}", "visit": "strftime(o_orderdate, '%m/%d/%Y') || ' 1256'",
+    "address": f"{_NUMBER} || ' ' || {_pick(pages.STREET, _C)} || ' Road, ' || {_CITY} || ', CA ' || {_ZIP}", "po_box": f"'P.O. Box ' || {_NUMBER} || ', ' || {_CITY} || ', CA ' || {_ZIP}", "city_line": f"{_CITY} || ', CA ' || {_ZIP}",
+    "phone": f"'(' || {_AREA} || ') 555-' || {_pad(f'{_C} % 10000', 4)}", "long_phone": f"'+1 ' || {_AREA} || ' 555 ' || {_pad(f'{_C} % 10000', 4)} || ' ext. 12'", "wrapped_phone": f"'(' || {_AREA} || ')' || chr(10) || '555-' || {_pad(f'{_C} % 10000', 4)}",
+    "damaged_phone": f"'(' || {_AREA} || ') 555-' || substr({_pad(f'{_C} % 10000', 4)}, 1, 2) || replace(substr({_pad(f'{_C} % 10000', 4)}, 3, 2), '0', 'O')",
+}
+_KIND = f"CASE WHEN {_K} % 211 = 0 THEN 'empty' WHEN {_K} % 97 = 0 THEN 'fax' ELSE list_extract([{', '.join(map(repr, pages.TEMPLATES))}], ({_K} // 4 % {len(pages.TEMPLATES)} + 1)::INTEGER) END"
+_RECORDS = f"SELECT *, {_KIND} AS kind, substr({_FIRST}, 1, 1) || substr({_LAST}, 1, 1) AS initials FROM orders"
+
+
+def _literal(s: str) -> str:
+    return "'" + s.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+
+
+def _expected(template: str, part: str | None = None) -> list[str]:
+    """SELECTs of the spans that a template's parts make by its wording."""
+    out, at = [], "0"
+    for p in pages.TEMPLATES[template]:
+        length = str(len(p)) if isinstance(p, str) else f"length({_PARTS[p[0]]})"
+        if not isinstance(p, str) and p[1] and part in (None, p[0]):
+            initials = "initials" if p[1] == "name" else "NULL"
+            out.append(f"SELECT {_K} AS record_id, '{p[1]}' AS cat, {at} AS \"start\", {at} + {length} AS \"end\", {initials} AS initials FROM r WHERE kind = '{template}'")
+        at = f"{at} + {length}"
+    return out
 
 
-def _starts() -> dict[str, str]:
-    """SQL of where each field starts in a record's text."""
-    out, at = {}, "0"
-    for label, (_, name) in zip(_LABELS, pages.LABELLED, strict=True):
-        out[name] = at = f"{at} + {len(label.replace(chr(39) * 2, chr(39)))}"
-        at = f"{at} + length({name}) + 1"
-    return out
+def _sql_text(template: str, masked: bool) -> str:
+    parts = []
+    for p in [*pages.TEMPLATES[template], pages.HARMLESS]:
+        mask = not isinstance(p, str) and masked and p[1]
+        parts.append(_literal(p) if isinstance(p, str) else ("'[' || initials || ']'" if p[1] == "name" else f"'[{p[1].upper()}]'") if mask else _PARTS[p[0]])
+    return " || ".join(parts)
 
 
-_HITS = f"WITH f AS ({_FIELDS}) " + " UNION ALL ".join(
-    f"SELECT record_id, '{cat}' AS cat, {_starts()[name]} AS \"start\", {_starts()[name]} + length({name}) AS \"end\", {'initials' if cat == 'name' else 'NULL'} AS initials FROM f" for name, cat in _CATS.items()
-)
-_REDACTED = f"""WITH f AS ({_FIELDS}) SELECT record_id, {" || chr(10) || ".join(f"'{label}' || " + ("visit" if name == "visit" else "'[' || initials || ']'" if name == "reversed_name" else f"'[{_CATS[name].upper()}]'") for label, (_, name) in zip(_LABELS, pages.LABELLED, strict=True))} || chr(10) || 'Charge $1,234.56 CPT 99213' AS redacted FROM f
-    UNION ALL SELECT o_orderkey, CASE WHEN o_orderkey % 211 = 0 THEN '' ELSE 'Fax cover' END FROM orders WHERE o_orderkey % 211 = 0 OR o_orderkey % 97 = 0"""
+def _texts(masked: bool) -> str:
+    cases = " ".join(f"WHEN '{t}' THEN {_sql_text(t, masked)}" for t in pages.TEMPLATES)
+    return f"SELECT {_K} AS record_id, {_C} AS subject_id, kind, CASE kind WHEN 'empty' THEN '' WHEN 'fax' THEN 'Fax cover' {cases} END AS text FROM r"
 
 
-def _hits(spark: SparkSession, sf_dir: str, only: tuple[str, ...] = detect.DETECTORS) -> DataFrame:
-    """Merged hits of the records, each against its own subject's profile."""
-    found = detect.detect(pages.records(spark, sf_dir), pages.subjects(spark, sf_dir), ("record_id",), "subject_id", only)
+_HITS = f"WITH r AS ({_RECORDS}) " + " UNION ALL ".join(x for t in pages.TEMPLATES for x in _expected(t))
+_REDACTED = f"WITH r AS ({_RECORDS}) SELECT record_id, text AS redacted FROM ({_texts(True)})"
+
+
+def _hits(spark: SparkSession, sf_dir: str, only: tuple[str, ...] = detect.DETECTORS, kind: str | None = None) -> DataFrame:
+    """Merged hits of the records (of one template), each against its own subject's profile."""
+    own = pages.records(spark, sf_dir)
+    found = detect.detect(own.where(F.col("kind") == kind) if kind else own, pages.subjects(spark, sf_dir), ("record_id",), "subject_id", only)
     return found.select("record_id", F.inline(spans.merged(F.col("hits"))))
 
 
+def _dark_share() -> Column:
+    """Empty records are blank pages if their number is even."""
+    return F.when(F.col("record_id") % 2 == 1, 0.2).otherwise(0.0)
+
+
 @query(_HITS)
 def record_hits(spark, sf_dir):
     return _hits(spark, sf_dir)
@@ -86,9 +115,61 @@ for _name, _only, _cat in (
     ORACLE_SQL[_name] = f"SELECT * FROM ({_HITS}) WHERE cat = '{_cat}'"
 
 
+# One way to write each kind of data, by its template.
+for _name, _only, _template, _part in (
+    ("ssn_formatted", "ssn", "form", "ssn"), ("ssn_masked", "ssn", "letter", "masked_ssn"), ("ssn_plain", "ssn", "table", "plain_ssn"), ("ssn_labeled", "ssn", "damaged", "damaged_ssn"),
+    ("dob_exact", "dob", "form", "dob"), ("dob_month_name", "dob", "letter", "long_dob"), ("dob_damaged", "dob", "damaged", "damaged_dob"),
+    ("account_inline", "account", "form", "mrn"), ("account_below", "account", "table", "mrn"), ("account_wrapped_label", "account", "wrapped", "mrn"), ("ncic_labeled", "ncic", "table", "cii"), ("dl_labeled", "dl", "table", "dl"),
+    ("phone_extension", "phones", "letter", "long_phone"), ("phone_two_lines", "phones", "wrapped", "wrapped_phone"), ("phone_damaged", "phones", "damaged", "damaged_phone"),
+    ("po_box", "addresses", "letter", "po_box"), ("city_state_zip", "addresses", "wrapped", "city_line"), ("street_address", "addresses", "form", "address"),
+    ("name_reversed", "names", "form", "reversed_name"), ("name_runs", "names", "wrapped", "wrapped_name"), ("name_damaged", "names", "damaged", "damaged_name"),
+):
+    QUERIES[_name] = lambda spark, sf_dir, only=_only, kind=_template: _hits(spark, sf_dir, (only,), kind)
+    ORACLE_SQL[_name] = f"WITH r AS ({_RECORDS}) " + _expected(_template, _part)[0]
+
+
 @query(_REDACTED)
 def redacted_text(spark, sf_dir):
-    return redact(pages.records(spark, sf_dir), pages.subjects(spark, sf_dir), ("record_id",), "subject_id").pages.select("record_id", "redacted")
+    done = redact(pages.records(spark, sf_dir), pages.subjects(spark, sf_dir), ("record_id",), "subject_id", dark_share=F.lit(0.0))
+    return done.pages.select("record_id", "redacted")
+
+
+@query(f"SELECT o_custkey AS file, list_sort(list(o_orderkey)) AS pages FROM orders WHERE {_K} % 211 = 0 AND o_orderkey % 2 = 1 GROUP BY 1")
+def blocked_files(spark, sf_dir):
+    """Files (here: subjects) with pages that have no text but dark pixels, as the whole plan stops them."""
+    own = pages.records(spark, sf_dir)
+    done = redact(own, pages.subjects(spark, sf_dir), ("record_id",), "subject_id", file="subject_id", page_no="record_id", dark_share=_dark_share())
+    return done.blocked.withColumnRenamed("subject_id", "file")
+
+
+@query(f"""
+    WITH r AS ({_RECORDS}), b AS (SELECT DISTINCT o_custkey FROM orders WHERE o_orderkey % 211 = 0 AND o_orderkey % 2 = 1),
+    h AS (SELECT {_C} AS file, count(*) AS n FROM ({_HITS}) JOIN orders ON record_id = o_orderkey GROUP BY 1)
+    SELECT r.o_custkey AS file, CASE WHEN b.o_custkey IS NULL THEN 'ok' ELSE 'blocked' END AS status, count(*) AS page_count, sum(length(regexp_replace(text, '\\s+', '', 'g')))::BIGINT AS chars,
+        count(*) FILTER (kind = 'fax') AS low_text_pages, count(*) FILTER (kind = 'empty' AND record_id % 2 = 0) AS blank_pages, count(*) FILTER (kind = 'empty' AND record_id % 2 = 1) AS no_text_pages,
+        CASE WHEN b.o_custkey IS NULL THEN coalesce(any_value(h.n), 0) ELSE 0 END AS redactions
+    FROM ({_texts(False)}) t JOIN (SELECT DISTINCT o_custkey FROM orders) r ON t.subject_id = r.o_custkey LEFT JOIN b ON b.o_custkey = r.o_custkey LEFT JOIN h ON h.file = r.o_custkey GROUP BY r.o_custkey, b.o_custkey
+""")
+def run_stats(spark, sf_dir):
+    """Status, pages, characters and redactions of each file."""
+    own = pages.records(spark, sf_dir)
+    done = redact(own, pages.subjects(spark, sf_dir), ("record_id",), "subject_id", file="subject_id", page_no="record_id", dark_share=_dark_share())
+    return done.stats.withColumnRenamed("subject_id", "file")
+
+
+@query(f"""
+    WITH r AS ({_RECORDS}) SELECT {_K} AS record_id, 'MRN note' || chr(10) || 'Name: ' || {_PARTS["name"]} || chr(10) || 'Born: ' || {_PARTS["dob"]} AS text,
+        'MRN note' || chr(10) || 'Name: [' || initials || ']' || chr(10) || 'Born: [DOB]' AS redacted FROM r
+""")
+def form_fields(spark, sf_dir):
+    """Values of form fields are redacted like text."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    part = pages.record_fields(F.col("o_orderkey"), F.col("o_custkey"), F.col("o_orderdate"))
+    field = lambda name, value: F.struct(F.lit(name).alias("name"), value.alias("value"))
+    own = orders.select(F.col("o_orderkey").alias("record_id"), F.col("o_custkey").alias("subject_id"), F.lit("MRN note").alias("text"), F.array(field("Name", part["name"]), field("Empty", F.lit("")), field("Born", part["dob"])).alias("fields"))
+    done = redact(own, pages.subjects(spark, sf_dir), ("record_id",), "subject_id", fields="fields")
+    texts = own.select("record_id", gate.with_fields(F.col("text"), F.col("fields")).alias("text"))
+    return texts.join(done.pages.select("record_id", "redacted"), "record_id")
 
 
 @query(f"WITH h AS ({_HITS}), c AS (SELECT unnest([{', '.join(repr(c) for c in CATEGORIES)}]) AS cat) SELECT c.cat, count(h.record_id) AS n FROM c LEFT JOIN h USING (cat) GROUP BY 1")
@@ -101,23 +182,35 @@ def counts_rollup(spark, sf_dir):
     return report.with_total(report.counts(_hits(spark, sf_dir)).where("n > 0"))
 
 
-@query("SELECT count(*) AS n, 0 AS leaks, count(*) FILTER (o_orderkey % 211 <> 0 AND o_orderkey % 97 <> 0) AS kept FROM orders")
-def leak_check(spark, sf_dir):
-    """Pages, those that still hold a protected string, white space and case aside, and those whose harmless line survived."""
-    records, who = pages.records(spark, sf_dir), pages.subjects(spark, sf_dir)
-    done = redact(records, who, ("record_id", "subject_id"), "subject_id").pages
-    kept = who.select("subject_id", F.array("full_name", F.element_at("phones", 1), F.element_at("addresses", 1), "dob").alias("secrets"))
-    leaks = F.exists("secrets", lambda s: F.contains(text.squash(F.col("redacted")), text.squash(s)))
-    return done.join(kept, "subject_id").agg(F.count("*").alias("n"), F.count_if(leaks).alias("leaks"), F.count_if(F.col("redacted").contains("Charge $1,234.56 CPT 99213")).alias("kept"))
+_SECRETS = {t: [p[0] for p in parts if not isinstance(p, str) and p[1]] for t, parts in pages.TEMPLATES.items()}
 
 
-@query("SELECT source AS file, count(*) AS pages_in, count(*) AS pages_out FROM documents GROUP BY 1")
+@query(f"""
+    WITH r AS ({_RECORDS}), t AS ({_texts(True)}), u AS ({_texts(False)})
+    SELECT u.kind, count(*) AS n, count(*) FILTER (u.text <> t.text) AS changed, 0::BIGINT AS leaks, count(*) FILTER (contains(t.text, '{pages.HARMLESS}')) AS kept FROM u JOIN t USING (record_id) GROUP BY 1
+""")
+def leak_check(spark, sf_dir):
+    """Pages of each template, those that changed, those that still hold any of their secrets as written there (white space and case aside), and those whose harmless line survived."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    part = pages.record_fields(F.col("o_orderkey"), F.col("o_custkey"), F.col("o_orderdate"))
+    secret = F.array().cast("array<string>")
+    for kind, names in _SECRETS.items():
+        secret = F.when(pages.record_kind(F.col("o_orderkey")) == kind, F.array(*[part[n] for n in names])).otherwise(secret)
+    records = pages.records(spark, sf_dir)
+    done = redact(records, pages.subjects(spark, sf_dir), ("record_id",), "subject_id", dark_share=F.lit(0.0)).pages
+    every = records.select("record_id", "kind", "text").join(orders.select(F.col("o_orderkey").alias("record_id"), secret.alias("secrets")), "record_id").join(done, "record_id")
+    leaks = F.exists("secrets", lambda x: F.contains(text.squash(F.col("redacted")), text.squash(x)))
+    return every.groupBy("kind").agg(F.count("*").alias("n"), F.count_if(F.col("text") != F.col("redacted")).alias("changed"), F.count_if(leaks).alias("leaks"), F.count_if(F.col("redacted").contains(pages.HARMLESS)).alias("kept"))
+
+
+@query(f"SELECT source AS file, count(*) AS pages_out, sum(octet_length(encode(coalesce(text, ''))))::BIGINT AS bytes_in FROM documents GROUP BY 1")
 def conservation_check(spark, sf_dir):
-    """Pages of each file before and after: none gets lost."""
-    docs = pages.documents(spark, sf_dir)
+    """Pages that were written and read again, and bytes that went in, by file: none gets lost."""
+    docs = pages.documents(spark, sf_dir, numbered=False)
     who = spark.createDataFrame([(0, "Ottoline Brackwater", [], "OB", "", [], ["(838) 555-7235"], [], [], [])], SUBJECT)
-    done = redact(docs, who, ("file", "page_no")).pages.groupBy("file").agg(F.count("*").alias("pages_out"))
-    return docs.groupBy("file").agg(F.count("*").alias("pages_in")).join(done, "file")
+    done = redact(docs, who, ("file", "doc_id"), dark_share=F.lit(0.0), store=stream_folder(spark))
+    out = done.pages.groupBy("file").agg(F.count("*").alias("pages_out"))
+    return out.join(docs.groupBy("file").agg(F.sum(F.octet_length(F.coalesce("text", F.lit("")))).alias("bytes_in")), "file")
 
 
 @query("""
@@ -163,25 +256,18 @@ def fold_tokens(spark, sf_dir):
 
 @query("SELECT doc_id, length(regexp_replace(text, '[\\s ]+', '', 'g')) AS chars, length(regexp_replace(text, '[\\s ]+', '', 'g')) BETWEEN 1 AND 39 AS low_text FROM documents")
 def page_charcounts(spark, sf_dir):
-    return gate.checked(pages.documents(spark, sf_dir)).select("doc_id", F.col("chars").cast("long").alias("chars"), "low_text")
-
-
-@query("SELECT o_custkey AS file, list_sort(list(o_orderkey)) AS pages FROM orders WHERE o_orderkey % 211 = 0 AND o_orderkey % 2 = 1 GROUP BY 1")
-def blocked_files(spark, sf_dir):
-    """Files (here: subjects) with pages that have no text but dark pixels."""
-    own = gate.checked(pages.records(spark, sf_dir), F.when(F.col("record_id") % 2 == 1, 0.2).otherwise(0.0))
-    return gate.blocked(own, "subject_id", "record_id").withColumnRenamed("subject_id", "file")
+    return gate.checked(pages.documents(spark, sf_dir, numbered=False)).select("doc_id", F.col("chars").cast("long").alias("chars"), "low_text")
 
 
 @query("SELECT count(*) AS pages, count(DISTINCT o_custkey) AS files FROM orders WHERE o_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey % 211 = 0 AND o_orderkey % 2 = 1)")
 def admitted_files(spark, sf_dir):
-    own = gate.checked(pages.records(spark, sf_dir), F.when(F.col("record_id") % 2 == 1, 0.2).otherwise(0.0))
+    own = gate.checked(pages.records(spark, sf_dir), _dark_share())
     return gate.admitted(own, "subject_id").agg(F.count("*").alias("pages"), F.countDistinct("subject_id").alias("files"))
 
 
 @query("SELECT o_orderkey AS record_id FROM orders WHERE o_orderkey % 211 = 0 AND o_orderkey % 2 = 0")
 def blank_pages(spark, sf_dir):
-    own = gate.checked(pages.records(spark, sf_dir), F.when(F.col("record_id") % 2 == 1, 0.2).otherwise(0.0))
+    own = gate.checked(pages.records(spark, sf_dir), _dark_share())
     return own.where("blank").select("record_id")
 
 
@@ -241,15 +327,17 @@ def parse_name(spark, sf_dir):
 
 
 @query("""
-    SELECT c_custkey, list_filter([CASE WHEN c_custkey % 5 = 0 THEN 'not a PDF file' END, CASE WHEN c_custkey % 7 = 0 THEN 'file too large' END, CASE WHEN c_custkey % 3 = 0 THEN 'no name' END,
-        CASE WHEN c_custkey % 4 = 0 THEN 'no variant' END, CASE WHEN c_custkey % 11 = 0 THEN 'no initials' END, CASE WHEN c_custkey % 13 = 0 THEN 'date of birth not understood' END], lambda x: x IS NOT NULL) AS problems FROM customer
+    SELECT c_custkey, list_filter([CASE WHEN c_custkey % 17 = 0 THEN 'no file' END, CASE WHEN c_custkey % 17 <> 0 AND c_custkey % 5 = 0 THEN 'not a PDF file' END, CASE WHEN c_custkey % 7 = 0 THEN 'file too large' END,
+        CASE WHEN c_custkey % 3 = 0 THEN 'no name' END, CASE WHEN c_custkey % 4 = 0 THEN 'no variant' END, CASE WHEN c_custkey % 11 = 0 THEN 'no initials' END, CASE WHEN c_custkey % 13 = 0 THEN 'date of birth not understood' END], lambda x: x IS NOT NULL) AS problems FROM customer
 """)
 def profile_validation(spark, sf_dir):
+    """Blank and null entries, dates in several forms, and all problems of each."""
     k = F.col("c_custkey")
-    blank = lambda n, good: F.when(k % n == 0, " ").otherwise(good)
+    blank = lambda n, good: F.when(k % (2 * n) == 0, F.lit(None)).when(k % n == 0, F.lit(" ")).otherwise(good)
+    good_date = F.element_at(F.lit(["4/23/81", "April 23, 1981", "1981-04-23", "23 Apr 1981", ""]), (k % 5 + 1).cast("int"))
     found = gate.problems(
-        blank(3, F.col("c_name")), F.array(blank(4, F.col("c_name")), F.lit("")), blank(11, F.lit("OB")), F.when(k % 13 == 0, "soon").otherwise("4/23/81"),
-        F.when(k % 5 == 0, "chart.doc").otherwise("Chart.PDF"), F.when(k % 7 == 0, 3_000_000_000).otherwise(1000),
+        blank(3, F.col("c_name")), F.when(k % 8 == 0, F.lit(None)).otherwise(F.array(blank(4, F.col("c_name")), F.lit(""))), blank(11, F.lit("OB")), F.when(k % 13 == 0, "soon").otherwise(good_date),
+        F.when(k % 17 == 0, F.lit(None)).when(k % 5 == 0, "chart.doc").otherwise("Chart.PDF"), F.when(k % 7 == 0, 3_000_000_000).otherwise(1000),
     )
     return spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", found.alias("problems"))
 
@@ -293,12 +381,121 @@ def phone_candidates(spark, sf_dir):
     return found.where(text.real_digits(F.col("s")) >= 7)
 
 
-@query(ORACLE_SQL["phone_candidates"].replace('SELECT doc_id, (i - 1)::INTEGER AS "start"', "SELECT count(*) AS n, count(DISTINCT doc_id) AS docs FROM (SELECT doc_id, (i - 1)::INTEGER AS \"start\"") + ") WHERE right(regexp_replace(translate(s, 'OoQDIil|!SsBZzG', '000011111558226'), '[^0-9]', '', 'g'), 10) IN (SELECT (838 + s_suppkey - s_suppkey)::VARCHAR || '5557235' FROM supplier)")
+_KEY = f"({_C} % 700 + 200)::VARCHAR || '555' || lpad(({_C} % 10000)::VARCHAR, 4, '0')"
+
+
+@query(f"""
+    WITH r AS ({_RECORDS}), k AS (SELECT DISTINCT {_KEY.replace(_C, "c_custkey")} AS key FROM customer WHERE c_custkey % 2 = 0)
+    SELECT {_K} AS record_id FROM r WHERE kind IN ('form', 'letter', 'damaged', 'wrapped') AND {_KEY} IN (SELECT key FROM k)
+""")
 def phone_semi_join(spark, sf_dir):
-    """Candidates among the entered numbers."""
-    keys = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.concat((F.lit(838) + F.col("s_suppkey") - F.col("s_suppkey")).cast("string"), F.lit("5557235")).alias("key")).distinct()
-    own = phone_candidates(spark, sf_dir).withColumn("key", F.right(text.ocr_digits(F.col("s")), F.lit(10)))
-    return own.join(keys, "key", "left_semi").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("docs"))
+    """Records with a phone number of any customer with an even key."""
+    c = F.col("c_custkey")
+    entered = spark.read.parquet(f"{sf_dir}/customer.parquet").where(c % 2 == 0).select(text.phone_key(pages.record_fields(c, c, F.lit("2020-01-01").cast("timestamp"))["phone"]).alias("key")).distinct()
+    found = pages.records(spark, sf_dir).where(F.col("text").rlike("[0-9]")).select("record_id", F.inline(text.find_all(text.page_text(F.col("text")), numbers.PHONE)))
+    digits = text.ocr_digits(F.regexp_replace("s", r"(?i)\s*ext\..*", ""))
+    keyed = found.select("record_id", F.when((F.length(digits) == 11) & digits.startswith("1"), F.substring(digits, 2, 10)).otherwise(digits).alias("key"))
+    return keyed.join(entered, "key", "left_semi").select("record_id").distinct()
+
+
+@query(f"WITH r AS ({_RECORDS}), t AS (SELECT {_K} AS record_id, {_K} % 80 AS gap FROM r) SELECT record_id, (4 + gap)::INTEGER AS \"start\", (14 + gap)::INTEGER AS \"end\" FROM t WHERE gap < 60")
+def dob_labeled_asof(spark, sf_dir):
+    """The first date behind a label, if it's near enough; an other date stands two lines below."""
+    own = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("record_id"), F.concat(F.lit("DOB:"), F.repeat(F.lit(" "), (F.col("o_orderkey") % 80).cast("int")), F.lit("01/02/1990 and 03/04/1991\n")).alias("t"))
+    found = dates.birth_dates(F.col("t"), dates.dates(F.col("t")), dates.entered_date(F.lit(""), 2026))
+    return own.select("record_id", F.inline(found))
+
+
+@query("""
+    WITH t AS (SELECT o_orderkey AS record_id, o_orderkey % 14 AS m, o_custkey % 33 AS d, year(o_orderdate) AS y FROM orders)
+    SELECT record_id, list_distinct(list_filter([CASE WHEN m BETWEEN 1 AND 12 AND d BETWEEN 1 AND 31 THEN y::VARCHAR || '-' || m::VARCHAR || '-' || d::VARCHAR END,
+        CASE WHEN d BETWEEN 1 AND 12 AND m BETWEEN 1 AND 31 THEN y::VARCHAR || '-' || d::VARCHAR || '-' || m::VARCHAR END], lambda x: x IS NOT NULL)).list_sort() AS readings
+    FROM t WHERE (m BETWEEN 1 AND 12 AND d BETWEEN 1 AND 31) OR (d BETWEEN 1 AND 12 AND m BETWEEN 1 AND 31)
+""")
+def date_candidates(spark, sf_dir):
+    """All readings of dates whose month and day may be either way round, or wrong."""
+    own = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    written = F.concat_ws("/", (F.col("o_orderkey") % 14).cast("string"), (F.col("o_custkey") % 33).cast("string"), F.year("o_orderdate").cast("string"))
+    found = F.filter(dates.dates(F.concat(written, F.lit("\n"))), lambda d: ~d["partial"])
+    readings = lambda d: F.array_sort(F.transform(d["cands"], lambda c: F.concat_ws("-", c["y"], c["m"], c["d"])))
+    return own.select(F.col("o_orderkey").alias("record_id"), F.explode(F.transform(found, readings)).alias("readings"))
+
+
+@query("SELECT o_orderkey AS record_id, (5)::INTEGER AS \"start\", (5 + length((o_orderkey % 15)::VARCHAR) + 5)::INTEGER AS \"end\" FROM orders WHERE o_orderkey % 15 BETWEEN 1 AND 12")
+def date_partial(spark, sf_dir):
+    """Months with a year alone."""
+    own = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("record_id"), F.concat(F.lit("Seen "), (F.col("o_orderkey") % 15).cast("string"), F.lit("/"), F.year("o_orderdate").cast("string"), F.lit("\n")).alias("t"))
+    found = F.filter(dates.dates(F.col("t")), lambda d: d["partial"])
+    return own.select("record_id", F.inline(F.transform(found, lambda d: F.struct(d["start"].alias("start"), d["end"].alias("end")))))
+
+
+@query("""
+    WITH t AS (SELECT o_orderkey AS record_id, o_orderkey * 7919 % 90000000 + 10000000 AS n FROM orders), p AS (SELECT *, n // 1000000 AS a, n // 10000 % 100 AS b, n % 100 AS e, n // 100 % 100 AS c FROM t)
+    SELECT record_id, 0::INTEGER AS "start", 10::INTEGER AS "end" FROM p
+    WHERE NOT ((a BETWEEN 1 AND 12 AND b BETWEEN 1 AND 31) OR (b BETWEEN 1 AND 12 AND a BETWEEN 1 AND 31) OR (c BETWEEN 1 AND 12 AND e BETWEEN 1 AND 31))
+""")
+def date_suppression_anti(spark, sf_dir):
+    """Numbers like those of a criminal record, but for those that are a date."""
+    own = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("record_id"), F.concat(F.lit("A "), (F.col("o_orderkey") * 7919 % 90_000_000 + 10_000_000).cast("string"), F.lit("\n")).alias("t"))
+    dated = F.transform(F.filter(dates.dates(F.col("t")), lambda d: ~d["partial"]), lambda d: F.struct(d["start"].alias("start"), d["end"].alias("end")))
+    return own.select("record_id", F.inline(numbers.bare(F.col("t"), dated, "ncic")))
+
+
+@query("SELECT o_orderkey AS record_id, 5::INTEGER AS \"start\", 13::INTEGER AS \"end\" FROM orders WHERE o_orderkey % 3 <> 0")
+def phone_local(spark, sf_dir):
+    """Entered numbers without their area code; every third page has an other one."""
+    k = F.col("o_orderkey")
+    own = spark.read.parquet(f"{sf_dir}/orders.parquet").select(k.alias("record_id"), F.concat(F.lit("call "), F.when(k % 3 == 0, "555-0999").otherwise(F.concat(F.lit("555-"), F.lpad((k % 900).cast("string"), 4, "0"))), F.lit("\n")).alias("t"), F.concat(F.lit("(209) 555-"), F.lpad((k % 900).cast("string"), 4, "0")).alias("entered"))
+    return own.select("record_id", F.inline(numbers.phones(F.col("t"), F.array("entered"))))
+
+
+@query(f"""
+    SELECT c_custkey, CASE c_custkey % 5 WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 0 WHEN 3 THEN 1 ELSE 1 END AS hits FROM customer
+""")
+def common_first_context(spark, sf_dir):
+    """A common first name alone: without context, behind a cue, behind a title of providers, near the last name, two lines from it."""
+    texts = ["Mary was calm today.", "Patient Mary arrived late.", "Dr. Mary said so.", "Mary was calm.\nBrackwater family", "Mary\nwas\nseen by Brackwater"]
+    own = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", F.element_at(F.lit(texts), (F.col("c_custkey") % 5 + 1).cast("int")).alias("text"))
+    who = spark.createDataFrame([(0, "Mary Brackwater", [], "MB", "", [], [], [], [], [])], SUBJECT)
+    found = detect.detect(own, who, ("c_custkey",), only=("names",))
+    first = F.filter("hits", lambda h: F.substring(F.col("text"), h["start"] + 1, h["end"] - h["start"]) == "Mary")
+    return found.select("c_custkey", F.size(first).alias("hits"))
+
+
+@query(f"""
+    WITH c AS (SELECT c_custkey AS {_C} FROM customer) SELECT {_C} AS c_custkey, w.i AS i, w.i <> 2 AS found, w.i < 2 AS exact FROM c, (SELECT unnest(range(0, 4)) AS i) w
+""")
+def name_best_match(spark, sf_dir):
+    """Words against a name: both its parts, an other word, and a damaged part that is still closest to it."""
+    c = F.col("c_custkey")
+    own = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    damaged = F.concat(F.translate(F.substring(F.lower(pages.pick(pages.LAST, c)), 1, 3), "aloi", "4101"), F.substring(F.lower(pages.pick(pages.LAST, c)), 4, 20))
+    words = F.array(pages.pick(pages.FIRST, c), F.upper(pages.pick(pages.LAST, c)), F.lit("Zyxt"), damaged)
+
+    @F.pandas_udf("array<struct<found: boolean, exact: boolean>>")
+    def codes(full: pd.Series, ws: pd.Series) -> pd.Series:
+        return pd.Series([[{"found": (k := names.name_model((n,)).code(w))[0] != ".", "exact": k[1]} for w in own] for n, own in zip(full, ws, strict=True)])
+
+    each = own.select("c_custkey", F.posexplode(codes(F.concat_ws(" ", pages.pick(pages.FIRST, c), pages.pick(pages.LAST, c)), words)).alias("i", "m"))
+    return each.select("c_custkey", F.col("i").cast("long").alias("i"), "m.found", "m.exact")
+
+
+@query(f"""
+    WITH c AS (SELECT c_custkey AS {_C}, c_custkey FROM customer)
+    SELECT c_custkey, {_NUMBER} AS number, [lower({_pick(pages.STREET, _C)})] AS street, '' AS po_box, [lower({_CITY})] AS city, 'ca' AS state, {_ZIP} AS zip FROM c WHERE c_custkey % 2 = 0
+    UNION ALL SELECT c_custkey, '', [], {_NUMBER}, [lower({_CITY})], 'ca', {_ZIP} FROM c WHERE c_custkey % 2 = 1
+""")
+def parse_address(spark, sf_dir):
+    """Parts of entered addresses: streets and post boxes."""
+    c = F.col("c_custkey")
+    part = pages.record_fields(c, c, F.lit("2020-01-01").cast("timestamp"))
+
+    @F.pandas_udf("number string, street array<string>, po_box string, city array<string>, state string, zip string")
+    def parsed(s: pd.Series) -> pd.DataFrame:
+        found = [addresses.parse_address(x) for x in s]
+        return pd.DataFrame({"number": [a.number for a in found], "street": [list(a.street) for a in found], "po_box": [a.po_box for a in found], "city": [list(a.city) for a in found], "state": [a.state for a in found], "zip": [a.zip for a in found]})
+
+    return spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", parsed(F.when(c % 2 == 0, part["address"]).otherwise(part["po_box"])).alias("p")).select("c_custkey", "p.*")
 
 
 def entry_query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -306,15 +503,27 @@ def entry_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.counts(_hits(spark, sf_dir))
 
 
-@query(f"WITH f AS ({_FIELDS}) SELECT record_id, {_starts()['dob']} AS \"start\", {_starts()['dob']} + 10 AS \"end\" FROM f UNION ALL SELECT record_id, {_starts()['visit']}, {_starts()['visit']} + 10 FROM f")
+_DATED = {t: [p[0] for p in parts if not isinstance(p, str) and p[0] in ("dob", "visit", "long_dob", "damaged_dob")] for t, parts in pages.TEMPLATES.items()}
+
+
+def _date_spans() -> str:
+    out = []
+    for t, parts in pages.TEMPLATES.items():
+        at = "0"
+        for p in parts:
+            if not isinstance(p, str) and p[0] in _DATED[t]:
+                out.append(f"SELECT {_K} AS record_id, {at} AS \"start\", {at} + {'10' if p[0] == 'visit' else f'length({_PARTS[p[0]]})'} AS \"end\" FROM r WHERE kind = '{t}'")
+            at = f"{at} + " + (str(len(p)) if isinstance(p, str) else f"length({_PARTS[p[0]]})")
+    return " UNION ALL ".join(out)
+
+
+@query(f"WITH r AS ({_RECORDS}) " + _date_spans())
 def date_matches(spark, sf_dir):
     """Whole dates of the records."""
 
-    @F.pandas_udf("array<struct<start: int, end: int>>")
-    def dates(s: pd.Series) -> pd.Series:
-        return s.map(lambda t: [{"start": d.start, "end": d.end} for d in find_dates(t + "\n") if not d.partial and d.end - d.start == 10 and t[d.start : d.end].count("/") == 2])
-
-    return pages.records(spark, sf_dir).select("record_id", F.inline(dates("text")))
+    found = F.filter(dates.dates(text.page_text(F.col("text"))), lambda d: ~d["partial"] & (d["end"] - d["start"] >= 10))
+    spans = F.transform(found, lambda d: F.struct(d["start"].alias("start"), d["end"].alias("end")))
+    return pages.records(spark, sf_dir).select("record_id", F.inline(spans))
 
 
 @query()
@@ -336,16 +545,45 @@ def _close_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.close_forms(found, "page")
 
 
-@query()
+_FORMS = f"""
+    r AS ({_RECORDS}), w AS (SELECT {_K} AS record_id, unnest(CASE WHEN kind IN ('form', 'table', 'damaged') THEN [upper({_FIRST}), upper({_LAST})] WHEN kind IN ('letter', 'wrapped') THEN [{_FIRST}, {_LAST}] ELSE [] END) AS word FROM r),
+    f AS (SELECT translate(word, 'AO', '40') AS form, record_id FROM w WHERE translate(word, 'AO', '40') <> word AND word <> 'BARNABAS')
+"""
+
+
+@query(f"WITH {_FORMS} SELECT form, count(*) AS count, list_sort(list(record_id)) AS pages FROM f GROUP BY 1 ORDER BY 2 DESC LIMIT 20")
 def close_forms_topk(spark, sf_dir):
-    """The first 20 words of damaged records that are redacted as names, by count."""
+    """The first 20 words of damaged records that are redacted as names, by count; three damaged letters of BARNABAS are too many."""
     return _close_forms(spark, sf_dir).limit(20)
 
 
-@query()
+def _shortened(s: str, n: int) -> str:
+    return f"CASE WHEN length({s}) <= {n} THEN {s} ELSE regexp_replace(substr({s}, 1, {n}), ',[^,]*$', '') || ', …' END"
+
+
+def _ranges(table: str, by: str = "1") -> str:
+    """SQL of `by` and ranges of `table` (by, page, distinct; at most SHOWN_PAGES pages of each)."""
+    return f"""(SELECT k, string_agg(CASE WHEN a = b THEN a::VARCHAR ELSE a::VARCHAR || '–' || b::VARCHAR END, ', ' ORDER BY a) AS ranges FROM
+        (SELECT k, min(page) AS a, max(page) AS b FROM (SELECT {by} AS k, page, page - row_number() OVER (PARTITION BY {by} ORDER BY page) AS island FROM {table}) GROUP BY k, island) GROUP BY k)"""
+
+
+@query(f"""
+    WITH {_FORMS}, h AS ({_HITS}), low AS (SELECT {_K} AS page FROM r WHERE kind = 'fax' ORDER BY 1 LIMIT {report.SHOWN_PAGES}), blank AS (SELECT {_K} AS page FROM r WHERE kind = 'empty' ORDER BY 1 LIMIT {report.SHOWN_PAGES}),
+    low_ranges AS (SELECT * FROM {_ranges("low")}), blank_ranges AS (SELECT * FROM {_ranges("blank")}), cats AS (SELECT unnest([{", ".join(repr(c) for c in CATEGORIES)}]) AS cat, unnest([{", ".join(_literal(x) for x in CATEGORIES.values())}]) AS label, unnest(range(0, 9)) AS sort_no),
+    counted AS (SELECT sort_no, label, count(h.cat) AS n FROM cats LEFT JOIN h USING (cat) GROUP BY 1, 2), forms AS (SELECT form, count(*) AS n FROM f GROUP BY 1), form_pages AS (SELECT form, record_id AS page FROM f),
+    top AS (SELECT form, n, row_number() OVER (ORDER BY n DESC, form) AS k FROM forms)
+    SELECT 0 AS line_no, 'title' AS section, 'Exceptions report' AS text, true AS bold UNION ALL SELECT 1, 'title', 'Confidential: it lists forms of names that were redacted.', true
+    UNION ALL SELECT 2, 'file', 'File: records', false UNION ALL SELECT 3, 'file', 'Pages: ' || (SELECT count(*) FROM r)::VARCHAR, false UNION ALL SELECT 8, 'low text', 'Pages with very little text', true
+    UNION ALL SELECT 9, 'low text', coalesce((SELECT (SELECT count(*) FROM r WHERE kind = 'fax')::VARCHAR || ' page(s): ' || {_shortened("ranges", 600)} FROM low_ranges), 'None.'), false
+    UNION ALL SELECT 10, 'low text', 'Blank pages: ' || {_shortened("ranges", 300)}, false FROM blank_ranges UNION ALL SELECT 11, 'counts', 'Redactions by category', true
+    UNION ALL SELECT (sort_no + 20)::INTEGER, 'counts', label || ': ' || n::VARCHAR, false FROM counted UNION ALL SELECT 39, 'counts', 'Total: ' || sum(n)::VARCHAR, true FROM counted
+    UNION ALL SELECT 40, 'close forms', 'Forms of names that aren''t on the list', true
+    UNION ALL SELECT (top.k + 40)::INTEGER, 'close forms', '"' || top.form || '": ' || n::VARCHAR || CASE WHEN n = 1 THEN ' on page ' ELSE ' on pages ' END || {_shortened("ranges", 80)}, false FROM top JOIN {_ranges("form_pages", "form")} g ON g.k = top.form WHERE top.k <= 20
+    UNION ALL SELECT 100000, 'close forms', CASE WHEN count(*) = 0 THEN 'None.' ELSE '…and ' || (count(*) - 20)::VARCHAR || ' more' END, false FROM forms HAVING count(*) > 20 OR count(*) = 0
+""")
 def report_lines(spark, sf_dir):
-    own = pages.records(spark, sf_dir)
-    run = gate.checked(own).agg(F.lit("records").alias("file_name"), F.count("*").alias("page_count"), F.array_sort(F.collect_list(F.when(F.col("low_text"), F.col("record_id")))).alias("low_text_pages"), F.array_sort(F.collect_list(F.when(F.col("chars") == 0, F.col("record_id")))).alias("blank_pages"))
+    """The exceptions report of all records: hits of the records as they are, close forms of damaged ones."""
+    run = report.run_statistics(gate.checked(pages.records(spark, sf_dir), F.lit(0.0)), "record_id", "records")
     return report.report_lines(run, report.counts(_hits(spark, sf_dir)), _close_forms(spark, sf_dir))
 
 
@@ -362,7 +600,7 @@ def same_spot(spark, sf_dir):
     box = F.transform(F.expr(_BOX.replace("l_quantity", "cast(l_quantity AS double)")), lambda x: x.cast("double"))
     a = own.select("l_orderkey", F.col("l_linenumber").alias("i"), box.alias("a"))
     b = own.select("l_orderkey", F.col("l_linenumber").alias("j"), box.alias("b"))
-    return a.join(b, "l_orderkey").where((F.col("i") < F.col("j")) & spans.same_spot(F.col("a"), F.col("b"))).select("l_orderkey", "i", "j")
+    return a.join(b, "l_orderkey").where((F.col("i") < F.col("j")) & boxes.same_spot(F.col("a"), F.col("b"))).select("l_orderkey", "i", "j")
 
 
 @query()
@@ -372,39 +610,77 @@ def box_dedupe(spark, sf_dir):
     box = F.transform(F.expr(_BOX.replace("l_quantity", "cast(l_quantity AS double)")), lambda x: x.cast("double"))
     group = F.struct("l_linenumber", F.struct(F.when(F.col("l_suppkey") % 2 == 0, "name").otherwise("account").alias("cat"), F.lit("OB").alias("initials"), F.array(box).alias("rects")).alias("g"))
     groups = own.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(group)).alias("groups"))
-    return groups.select("l_orderkey", F.size("groups").alias("before"), F.size(spans.deduped(F.col("groups.g"))).alias("after"))
+    return groups.select("l_orderkey", F.size("groups").alias("before"), F.size(boxes.deduped(F.col("groups.g"))).alias("after"))
 
 
 @query("SELECT l_orderkey, l_linenumber, CASE WHEN l_partkey % 50 + l_quantity > 79.5 OR l_suppkey % 20 + 12 > 29.5 OR l_partkey % 50 + l_quantity < 0.5 THEN 4 ELSE 0 END AS boxes FROM lineitem")
 def outside_page(spark, sf_dir):
     """Boxes around pages of 80 by 30 that have a character whose far edge lies beyond theirs."""
     rect = F.array(*[F.expr(x).cast("double") for x in ("l_partkey % 50 + l_quantity", "l_suppkey % 20 + 12", "l_partkey % 50 + l_quantity", "l_suppkey % 20 + 12")])
-    found = spans.outside(F.array(rect), F.array(*map(F.lit, (0.0, 0.0, 80.0, 30.0))))
+    found = boxes.outside(F.array(rect), F.array(*map(F.lit, (0.0, 0.0, 80.0, 30.0))))
     return spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", F.size(found).alias("boxes"))
 
 
 @query(f"""
-    WITH f AS ({_FIELDS}) SELECT record_id, 50::DOUBLE - 2.4::DOUBLE AS x0, 48::DOUBLE - 0.48::DOUBLE AS y0, (50 + 6 * length(ssn))::DOUBLE + 2.4::DOUBLE AS x1, 60::DOUBLE + 0.48::DOUBLE AS y1 FROM f
+    WITH r AS ({_RECORDS}) SELECT {_K} AS record_id, 50::DOUBLE - 2.4::DOUBLE AS x0, 48::DOUBLE - 0.48::DOUBLE AS y0, (50 + 6 * 11)::DOUBLE + 2.4::DOUBLE AS x1, 60::DOUBLE + 0.48::DOUBLE AS y1 FROM r WHERE kind = 'form'
 """)
 def span_boxes(spark, sf_dir):
-    """The padded box of each record's Social Security number."""
-    own = pages.records(spark, sf_dir).join(_hits(spark, sf_dir, ("ssn",)), "record_id")
-    rect = F.get(spans.span_rects(text.lines(F.col("text")), F.col("start"), F.col("end")), F.lit(0))
+    """The padded box of the Social Security number in each form."""
+    own = pages.records(spark, sf_dir).join(_hits(spark, sf_dir, ("ssn",), "form"), "record_id")
+    page = text.page_text(F.col("text"))
+    rect = F.get(boxes.text_rects(page, text.lines(F.col("text")), F.col("start"), F.col("end")), F.lit(0))
     return own.select("record_id", *[F.get(rect, F.lit(k)).alias(n) for k, n in enumerate(("x0", "y0", "x1", "y1"))])
 
 
-@query("SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN NOT (c_custkey % 2 <> 0 OR c_custkey % 3 <> 0) WHEN c_custkey % 4 = 1 THEN NOT (c_custkey % 2 <> 0 AND c_custkey % 3 <> 0) WHEN c_custkey % 4 = 2 THEN NOT (c_custkey % 2 = 0 OR c_custkey % 3 = 0) ELSE NOT (c_custkey % 2 = 0 AND c_custkey % 3 = 0) END AS hidden FROM customer")
+_QUAD = "array(x, y, x + w, y, x, y + h, x + w, y + h)"
+
+
+@query("""
+    WITH t AS (SELECT l_orderkey, l_linenumber, (l_partkey % 50)::DOUBLE AS x, (l_suppkey % 20)::DOUBLE AS y, l_quantity::DOUBLE AS w, (l_linenumber + 9)::DOUBLE AS h FROM lineitem WHERE l_linenumber <= 3),
+    b AS (SELECT l_orderkey, min(x) AS x0, min(y) AS y0, max(x + w) AS x1, max(y + h) AS y1, avg(h) AS m FROM t GROUP BY 1)
+    SELECT l_orderkey, x0 - greatest(1, 0.2 * m) AS x0, y0 - greatest(0.3, 0.04 * m) AS y0, x1 + greatest(1, 0.2 * m) AS x1, y1 + greatest(0.3, 0.04 * m) AS y1 FROM b
+""")
+def rect_bounds(spark, sf_dir):
+    """The padded box of a span of up to three characters with places of their own, and one without."""
+    own = spark.read.parquet(f"{sf_dir}/lineitem.parquet").where("l_linenumber <= 3")
+    each = own.selectExpr("l_orderkey", "l_linenumber", "cast(l_partkey % 50 AS double) x", "cast(l_suppkey % 20 AS double) y", "cast(l_quantity AS double) w", "cast(l_linenumber + 9 AS double) h")
+    lists = each.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", F.expr(_QUAD).alias("q")))).alias("own"))
+    quads = F.concat(F.array(F.lit(None).cast("array<double>")), F.transform("own", lambda c: c["q"]))
+    page = F.concat(F.repeat(F.lit("x"), F.size(quads)), F.lit("\n"))
+    rect = F.get(boxes.quad_rects(page, text.lines(page), quads, F.lit(0), F.size(quads)), F.lit(0))
+    return lists.select("l_orderkey", *[F.get(rect, F.lit(k)).alias(n) for k, n in enumerate(("x0", "y0", "x1", "y1"))])
+
+
+@query("""
+    WITH t AS (SELECT c_custkey, c_custkey % 4 AS p, (c_custkey % 2 = 0)::INTEGER + (c_custkey % 3 = 0)::INTEGER AS off_here, (c_custkey % 2 = 0 OR c_custkey % 3 = 0 OR c_custkey % 5 = 0) AS any_off FROM customer)
+    SELECT c_custkey, any_off AND CASE p WHEN 0 THEN off_here = 2 WHEN 1 THEN off_here > 0 WHEN 2 THEN off_here = 0 ELSE off_here < 2 END AS hidden FROM t
+""")
 def layer_visibility(spark, sf_dir):
+    """Content of two layers under each policy, with those layers off or on, or an other one off."""
     k = F.col("c_custkey")
-    off = F.array_compact(F.array(F.when(k % 2 == 0, "a"), F.when(k % 3 == 0, "b")))
+    off = F.array_compact(F.array(F.when(k % 2 == 0, "a"), F.when(k % 3 == 0, "b"), F.when(k % 5 == 0, "c")))
     policy = F.element_at(F.lit(["AnyOn", "AllOn", "AnyOff", "AllOff"]), (k % 4 + 1).cast("int"))
     return spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", gate.hidden(F.lit(["a", "b"]), policy, off).alias("hidden"))
 
 
-@query("SELECT c_custkey, 1 + (c_custkey % 2 = 0)::INTEGER AS kept, 1 AS allowed FROM customer")
+@query("SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 'keep  end' ELSE 'keep gone end' END AS shown FROM customer")
+def hidden_layers(spark, sf_dir):
+    """Texts without their parts that belong to layers that are off."""
+    part = F.struct(F.lit(5).alias("start"), F.lit(9).alias("end"), F.lit(["a"]).alias("groups"), F.lit("AnyOn").alias("policy"))
+    off = F.when(F.col("c_custkey") % 2 == 0, F.lit(["a"])).otherwise(F.lit(["b"]))
+    return spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", gate.visible(F.lit("keep gone end"), F.array(part), off).alias("shown"))
+
+
+@query("SELECT c_custkey, list_sort(CASE WHEN c_custkey % 3 = 0 THEN ['Type', 'Contents'] ELSE ['Type', 'Contents', 'B', 'LastModifiedBy'] END || CASE WHEN c_custkey % 2 = 0 THEN ['Title'] WHEN c_custkey % 3 = 0 THEN [] ELSE ['Annots'] END || CASE WHEN c_custkey % 3 = 0 THEN ['LastModifiedBy'] ELSE [] END) AS kept, ['Type'] AS allowed FROM customer")
 def metadata_drop(spark, sf_dir):
-    keys = F.create_map(F.lit("Type"), "c_name", F.lit("Metadata"), "c_mktsegment", F.when(F.col("c_custkey") % 2 == 0, "Title").otherwise("Annots"), F.lit("x"))
-    return spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", F.size(gate.stripped(keys)).alias("kept"), F.size(gate.allowed(keys)).alias("allowed"))
+    """Metadata of pages and of other objects, and what a catalogue keeps of it."""
+    k = F.col("c_custkey")
+    x = F.lit("x")
+    keys = F.create_map(
+        F.lit("Type"), F.when(k % 3 == 0, "Page").otherwise("XObject"), F.lit("Metadata"), x, F.when(k % 2 == 0, "Title").otherwise("Annots"), x, F.lit("OC"), x, F.lit("StructParent"), x, F.lit("B"), x, F.lit("Contents"), x,
+        F.lit("LastModified"), x, F.lit("LastModifiedBy"), x,
+    )
+    return spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", F.array_sort(F.map_keys(gate.stripped(keys))).alias("kept"), F.map_keys(gate.allowed(keys)).alias("allowed"))
 
 
 @query("SELECT q::INTEGER AS q, q::INTEGER AS estimate FROM range(50, 96) t(q)")
@@ -414,11 +690,14 @@ def jpeg_quality(spark, sf_dir):
     return spark.createDataFrame(made, "q int, data binary").select("q", jpeg.jpeg_quality("data").alias("estimate"))
 
 
-@query("SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS users FROM events GROUP BY 1")
+@query("SELECT 'phone' AS cat, count(*) AS n FROM (SELECT * FROM events WHERE event_type = 'click')")
 def stream_counts(spark, sf_dir):
-    """Events as a stream of files, counted when all are in."""
+    """Events as a stream of pages, each click with a protected phone, redacted and counted as they come."""
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    return collected(spark, f"{sf_dir}/events.parquet", schema).groupBy("event_type").agg(F.count("*").alias("n"), F.countDistinct("user_id").alias("users"))
+    who = spark.createDataFrame([(0, "Ottoline Brackwater", [], "OB", "", [], ["(838) 555-7235"], [], [], [])], SUBJECT)
+    page = F.concat(F.lit("event "), "event_type", F.when(F.col("event_type") == "click", F.lit(" call 838.555.7235")).otherwise(""))
+    counts = redacted_at_once(sf_dir, "events*.parquet", schema, lambda df: df.select("event_id", page.alias("text")), who, ("event_id",))
+    return counts.groupBy("cat").agg(F.sum("n").alias("n")).where("n > 0")
 
 
 __all__ = ["ORACLE_SQL", "QUERIES", "entry_query"]
