@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 import pandas as pd
@@ -9,10 +10,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkveil.functions import addresses, dates, fuzzy, jpeg, names, numbers, text
-from inkveil.operators import boxes, detect, gate, report, spans
+from inkveil.operators import boxes, detect, gate, images, report, spans
 from inkveil.plans.redaction import redact
 from inkveil.schema import CATEGORIES, SUBJECT
-from inkveil.sources import pages
+from inkveil.sources import assembly, pages
 from inkveil.streaming.stream import redacted_at_once, stream_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -690,6 +691,78 @@ def jpeg_quality(spark, sf_dir):
     return spark.createDataFrame(made, "q int, data binary").select("q", jpeg.jpeg_quality("data").alias("estimate"))
 
 
+# PDF bytes and images.
+
+
+@query("""
+    SELECT n_nationkey, '/Span BMC  (' || n_name || ') Tj EMC' || CASE WHEN n_nationkey % 2 = 0 THEN '' ELSE ' /OC BMC  (layer) Tj EMC' END || ' BI /W 1 ID EMC EI Q' || CASE WHEN n_nationkey % 3 = 0 THEN '' ELSE ' /X1 Do' END AS content FROM nation
+""")
+def hidden_content(spark, sf_dir):
+    """Content streams without hidden layers and objects, and without properties of marks; blanks before what goes are counted as one."""
+    own = spark.read.parquet(f"{sf_dir}/nation.parquet")
+    text_of = F.concat(F.lit("/Span <</MCID 3/ActualText(a\\)EMC)>> BDC ("), "n_name", F.lit(") Tj EMC /OC /L1 BDC (layer) Tj EMC BI /W 1 ID EMC EI Q /X1 Do"))
+    even, third = F.col("n_nationkey") % 2 == 0, F.col("n_nationkey") % 3 == 0
+    none = F.array().cast("array<string>")
+    streams = own.select("n_nationkey", F.encode(text_of, "ISO-8859-1").alias("content"), F.when(even, F.array(F.lit("L1"))).otherwise(none).alias("hidden_properties"), F.when(third, F.array(F.lit("X1"))).otherwise(none).alias("hidden_objects"))
+    done = assembly.without_hidden(streams, ("n_nationkey",))
+    return done.select("n_nationkey", F.rtrim(F.regexp_replace(F.decode("content", "ISO-8859-1"), "EMC +BI", "EMC BI")).alias("content"))
+
+
+@query("""
+    SELECT n_regionkey AS file, count(*) AS pages, (3 * count(*) + 2)::BIGINT AS objects, list(n_nationkey ORDER BY n_nationkey) AS page_order, list((3 * k + 3)::BIGINT ORDER BY k) AS page_numbers
+    FROM (SELECT *, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS k FROM nation) GROUP BY 1
+""")
+def pdf_assembled(spark, sf_dir):
+    """Files of one page a nation, joined by region and read again."""
+    body = [
+        "1 0 obj\n<</Type/Catalog/Pages 2 0 R/Info 7 0 R>>\nendobj\n", "2 0 obj\n<</Type/Pages/Count 1/Kids[3 0 R]>>\nendobj\n", "3 0 obj\n<</Type/Page/Parent 2 0 R/Contents 4 0 R/Gone 9 0 R/Note(see 4 0 R)/Key %KEY%>>\nendobj\n",
+        "4 0 obj\n<</Length 5 0 R>>\nstream\nendobj trailer\nendstream\nendobj\n", "5 0 obj\n14\nendobj\n", "7 0 obj\n<</Title(t)>>\nendobj\n", "xref\n0 1\n0000000000 65535 f \ntrailer\n<</Root 1 0 R/Info 7 0 R>>\nstartxref\n0\n%%EOF\n",
+    ]
+    text_of = F.replace(F.lit("%PDF-1.7\n" + "".join(body)), F.lit("%KEY%"), F.col("n_nationkey").cast("string"))
+    parts = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.col("n_regionkey").alias("file"), F.col("n_nationkey").alias("part"), F.encode(text_of, "ISO-8859-1").alias("content"))
+    again = assembly.objects(assembly.whole(assembly.assembled(parts)).select("file", F.lit(0).alias("part"), "content"))
+    page = F.when(F.col("kind") == "page", F.struct("page", "number", F.regexp_extract(F.decode("body", "ISO-8859-1"), r"/Gone null/Note\(see 4 0 R\)/Key ([0-9]+)", 1).cast("long").alias("key")))
+    pages_of = again.groupBy("file").agg(F.count("page").alias("pages"), F.count("*").alias("objects"), F.array_sort(F.collect_list(page)).alias("own"))
+    return pages_of.select("file", "pages", "objects", F.col("own.key").alias("page_order"), F.col("own.number").alias("page_numbers"))
+
+
+_IMAGE = "array(cast(32 AS double), cast(0 AS double), cast(0 AS double), cast(16 AS double), cast(l_partkey % 50 AS double), cast(l_suppkey % 20 AS double))"
+
+
+@query("""
+    WITH t AS (SELECT l_orderkey, l_linenumber, (l_partkey % 50)::DOUBLE AS x, (l_suppkey % 20)::DOUBLE AS y FROM lineitem), r AS (SELECT *, (30 - x) / 32 AS u0, (12 - y) / 16 AS v0, (44 - x) / 32 AS u1, (25 - y) / 16 AS v1 FROM t WHERE x < 44 AND x + 32 > 30 AND y < 25 AND y + 16 > 12)
+    SELECT l_orderkey, l_linenumber, greatest(0, floor(u0 * 80) - 1)::INTEGER AS x0, greatest(0, floor(v0 * 60) - 1)::INTEGER AS y0, least(80, ceil(u1 * 80) + 1)::INTEGER AS x1, least(60, ceil(v1 * 60) + 1)::INTEGER AS y1 FROM r
+""")
+def image_regions(spark, sf_dir):
+    """Pixels of images of 80 by 60 that a box on their page covers."""
+    own = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", F.expr(_IMAGE).alias("matrix"), F.lit(80).alias("width"), F.lit(60).alias("height"))
+    box = own.select("l_orderkey").distinct().withColumn("rects", F.array(F.array(*map(F.lit, (30.0, 12.0, 44.0, 25.0)))))
+    return images.covered(own, box, ("l_orderkey",)).select("l_orderkey", "l_linenumber", F.inline("regions"))
+
+
+@query("""
+    SELECT p_partkey, p_partkey % 5 <> 0 AS done, CASE WHEN p_partkey % 5 = 0 THEN NULL WHEN p_partkey % 2 = 0 THEN 16 * 8 - 6 * 4 ELSE (16 * 8 - 6 * 4) * 3 END AS white FROM part
+""")
+def image_fill(spark, sf_dir):
+    """White samples left of white images (of one bit, or deflated colours) whose region is blackened; every fifth can't be rewritten."""
+    k = F.col("p_partkey")
+
+    @F.pandas_udf("binary")
+    def white(key: pd.Series) -> pd.Series:
+        return key.map(lambda n: b"\xff" * 16 if n % 2 == 0 else zlib.compress(b"\xff" * (16 * 8 * 3)))
+
+    @F.pandas_udf("long")
+    def count(data: pd.Series, key: pd.Series) -> pd.Series:
+        return pd.Series([None if d is None else sum(x.bit_count() for x in d) if n % 2 == 0 else zlib.decompress(d).count(b"\xff") for d, n in zip(data, key, strict=True)], dtype="Int64")
+
+    even, region = k % 2 == 0, F.expr("array(named_struct('x0', 3, 'y0', 2, 'x1', 9, 'y1', 6))")
+    made = spark.read.parquet(f"{sf_dir}/part.parquet").select(
+        "p_partkey", white(k).alias("data"), F.when(even, "").otherwise("FlateDecode").alias("filter"), F.lit(16).alias("width"), F.lit(8).alias("height"), F.when(even, 1).otherwise(3).alias("components"),
+        F.when(even, 1).otherwise(8).alias("bits"), region.alias("regions"), (k % 5 == 0).alias("fallback"),
+    )
+    return images.blackened(made, ("p_partkey",)).select("p_partkey", "done", count("data", k).alias("white"))
+
+
 @query("SELECT 'phone' AS cat, count(*) AS n FROM (SELECT * FROM events WHERE event_type = 'click')")
 def stream_counts(spark, sf_dir):
     """Events as a stream of pages, each click with a protected phone, redacted and counted as they come."""
