@@ -10,14 +10,18 @@ Columns of the input whose names clash with results are ignored; only the id and
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkveil.llm.common import SPACES, text_of
+from inkveil.llm.common import SPACES, slices, text_of
 
 N_GRAM = 3
+#: Bytes of a text whose n-grams are held together.
+PIECE = 1 << 20
 BUCKETS = 1 << 16
 SYMBOLS = b"#*$%&|<>"
 #: Most trusted documents that the target multinomial is fitted on; those with the smallest hash of their id.
@@ -31,12 +35,16 @@ MAX_REPEAT_PERCENT = 50
 STATS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
 
 
-def grams(data: bytes) -> np.ndarray:
-    """Buckets of the n-grams of bytes; runs shorter than one n-gram are padded by spaces."""
-    codes = np.frombuffer(data if len(data) >= N_GRAM else data.ljust(N_GRAM), np.uint8).astype(np.uint32)
-    n = len(codes) - N_GRAM + 1
-    packed = sum((codes[k : k + n] << np.uint32(8 * k)) for k in range(N_GRAM))
-    return (packed * np.uint32(2654435761)) >> np.uint32(16)
+def grams(data: bytes) -> Iterator[np.ndarray]:
+    """Buckets of the n-grams of bytes, in pieces; runs shorter than one n-gram are padded by spaces."""
+    data = data if len(data) >= N_GRAM else data.ljust(N_GRAM)
+    for at in range(0, len(data) - N_GRAM + 1, PIECE):
+        codes = np.frombuffer(data[at : at + PIECE + N_GRAM - 1], np.uint8).astype(np.uint32)
+        n = len(codes) - N_GRAM + 1
+        packed = codes[:n].copy()
+        for k in range(1, N_GRAM):
+            packed |= codes[k : k + n] << np.uint32(8 * k)
+        yield (packed * np.uint32(2654435761)) >> np.uint32(16)
 
 
 def repeated_words(words: list[bytes]) -> int:
@@ -76,10 +84,25 @@ def gram_counts(docs: DataFrame, trusted_ids: DataFrame, max_trusted: int = MAX_
 
     def count(batches):
         total = np.zeros((2, BUCKETS), np.int64)
-        for batch in batches:
-            for k, chosen in enumerate((batch.column("text"), batch.filter(batch.column("trusted").fill_null(False)).column("text"))):
-                if found := [grams(x.as_py().encode()) for x in chosen]:
-                    total[k] += np.bincount(np.concatenate(found), minlength=BUCKETS)
+        held: list[list[np.ndarray]] = [[], []]
+        size = 0
+
+        def add() -> None:
+            for k, own in enumerate(held):
+                if own:
+                    total[k] += np.bincount(np.concatenate(own), minlength=BUCKETS)
+                own.clear()
+
+        for part in slices(batches, "text"):
+            for text, own in zip(part.column("text"), part.column("trusted").fill_null(False).to_pylist(), strict=True):
+                for found in grams(text.as_py().encode()):
+                    held[0].append(found)
+                    held[1].extend([found] * own)
+                    size += len(found)
+                    if size >= PIECE:
+                        add()
+                        size = 0
+        add()
         at = np.flatnonzero(total[0])
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[0][at]), pa.array(total[1][at])], ["bucket", "raw", "target"])
 
@@ -99,6 +122,11 @@ def gram_weights(counts: DataFrame) -> np.ndarray:
     return odds[1] - odds[0]
 
 
+def mean_ratio(data: bytes, weights: np.ndarray) -> float:
+    parts = [(float(weights[g].sum()), len(g)) for g in grams(data)]
+    return sum(x for x, _ in parts) / sum(n for _, n in parts)
+
+
 def judge(docs: DataFrame, trusted_ids: DataFrame, min_words: int = MIN_WORDS, max_repeat_percent: int = MAX_REPEAT_PERCENT, min_ratio: float = MIN_RATIO, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns in keep, the statistics of STATS, base_failed, log_ratio and kept, for each row of docs."""
     weights = docs.sparkSession.sparkContext.broadcast(gram_weights(gram_counts(docs, trusted_ids)))
@@ -106,10 +134,10 @@ def judge(docs: DataFrame, trusted_ids: DataFrame, min_words: int = MIN_WORDS, m
     names = [x.split()[0] for x in STATS.split(", ")]
 
     def measure(batches):
-        for batch in batches:
+        for batch in slices(batches, "_text"):
             texts = batch.column(batch.num_columns - 1).to_pylist()
             stats = list(zip(*map(text_stats, texts), strict=True)) or [[]] * len(names)
-            ratio = [float(weights.value[grams(x.encode())].mean()) for x in texts]
+            ratio = [mean_ratio(x.encode(), weights.value) for x in texts]
             yield pa.RecordBatch.from_arrays(batch.columns[:-1] + [pa.array(x, pa.int64()) for x in stats] + [pa.array(ratio, pa.float64())], [*keep, *names, "log_ratio"])
 
     kept_types = ", ".join(f"`{n}` {t}" for n, t in docs.select(*keep).dtypes)
