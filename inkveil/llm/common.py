@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pyarrow as pa
@@ -57,6 +59,25 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = SLI
             at = to
 
 
+#: Keys of more rows than this, and than that part of all rows, are spread over the tasks of a join.
+LARGE_ROWS, MAX_LARGE = 1000, 10_000
+
+
+def joined_spread(rows: DataFrame, table: DataFrame, on: tuple[str, ...], salt: Column) -> DataFrame:
+    """rows left joined with a table that has one row for each key `on`, and in its column `rows` how many rows hold the key.
+
+    Keys of very many rows, MAX_LARGE at most by their share of all rows, are broadcast, and their rows are spread by the salt."""
+    total = table.agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("n")).first().n
+    large = F.col("rows") > max(LARGE_ROWS, total // MAX_LARGE)
+    values = [c for c in table.columns if c not in (*on, "rows")]
+    named = lambda df, side: df.select(*[F.col(c).alias(f"_{side}_{c}") for c in (*on, *values)], F.lit(0).cast("long").alias(f"_{side}_salt"))
+    same = lambda side: reduce(and_, [F.col(k) == F.col(f"_{side}_{k}") for k in on])
+    first = rows.join(F.broadcast(named(table.where(large), "large")), same("large"), "left")
+    spread = first.withColumn("_salt", F.when(F.col("_large_salt").isNull(), F.lit(0).cast("long")).otherwise(salt))
+    found = spread.join(named(table.where(~large), "small"), same("small") & (F.col("_salt") == F.col("_small_salt")), "left")
+    return found.select(*rows.columns, *[F.coalesce(f"_large_{c}", f"_small_{c}").alias(c) for c in values])
+
+
 def remove(spark: SparkSession, *paths: str) -> None:
     """Deletes folders of the shared file system."""
     jvm = spark._jvm

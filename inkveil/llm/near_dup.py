@@ -2,18 +2,20 @@
 
 One hash function gives each shingle a value; a text's sketch is its K smallest. Texts of equal shingle sets are one
 class, represented by its smallest doc_id. An index of inverted lists holds, for each representative, the rarest values of
-its sketch (those that are globally frequent come last, as in prefix filtering) within a class of set sizes:
-two sets similar enough have sizes in the same or neighbouring classes and share REQUIRED of these values. Candidates
-are representatives that share so many; the sketch of their union estimates their similarity; the full sets confirm it.
+its sketch: those that are frequent in the whole corpus come last, as in prefix filtering, so that two sets similar
+enough share REQUIRED of the indexed ones and yet a passage that many texts share makes no candidates of them.
+Candidates are representatives that share so many; the sketch of their union estimates their similarity; the full
+sets confirm it.
 
-To lose no link and yet not pair up the rows of a large group, each representative first joins the group of one hub: of the pivots of its lists (those
-whose lists are largest, as the original of many copies) the one that it shares most values with. Groups are compared block by block: a task
-gets the full sets of two blocks of members and returns only the links that join parts of them. What is
-linked joins components; then only representatives of different components and groups are still paired up.
-Components never reach the driver: large-star and small-star steps run over tables in the shared folder.
+To lose no link and yet not pair up the rows of a large group, each representative first joins the group of one hub: of
+the pivots of its lists (those whose lists are largest, as the original of many copies) the one that it shares most
+values with. Each is compared with its hub, if their sketches allow it by their full sets. Only those that aren't linked to their hub are compared
+with all of the group, block by block: a task gets the full sets of two blocks and returns only the links that join parts
+of them. What is linked joins components; then only representatives of different components and groups are still
+paired up. Components never reach the driver: large-star and small-star steps run over tables in the shared folder.
 
-With similarity 0.8 and K = 32 two sketches have fewer than SHARED values in common with probability below 1e-6; sets of at most
-EXACT shingles are their own sketches, for which the bounds are exact.
+With similarity 0.8 and K = 96 two sketches have fewer than SHARED values in common with probability below 1e-6; sets of at most
+EXACT shingles, and all that can be similar to them, are their own sketches, for which the bounds are exact.
 
 Cases: a null or empty text has no shingles and is linked with nothing; one of fewer words than a shingle is one
 shingle. Rows of an equal doc_id count as one document, so they share a component; a row without doc_id takes no
@@ -30,17 +32,17 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkveil.llm.common import LOWER, text_of, written
+from inkveil.llm.common import LOWER, joined_spread, remove_written, slices, text_of, written
 
-K = 32
+K = 96
 #: Common sketch values of similar sets at least, those of them that must be among the indexed ones, and the largest sets with exact bounds.
-SHARED, REQUIRED, EXACT = 14, 4, 25
+SHARED, REQUIRED, EXACT = 56, 4, 76
 #: Estimated similarity (percent) from which full sets are compared.
-MIN_ESTIMATE = 44
+MIN_ESTIMATE = 58
 #: Sketch values whose frequency the executors know; all others count as rare.
 MAX_FREQUENT = 1 << 16
-#: Members of a block.
-BLOCK = 256
+#: Members of a block of full sets, rows of a block of a list, and pairs that get the same copy of a full set.
+BLOCK, LIST_BLOCK, PART = 256, 1024, 1024
 #: Most words of 64 bits in the bitmap of candidates.
 MAX_BITMAP = 1 << 20
 
@@ -64,7 +66,7 @@ def sketches(docs: DataFrame, n: int) -> DataFrame:
     """doc_id, n (shingles), digest of the set, sketch."""
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches, "text"):
             sets = [shingle_set(x.as_py(), n) for x in batch.column("text")]
             digest = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(map(len, sets), pa.int64()), pa.array(digest, pa.binary()), pa.array([s[:K] for s in sets], pa.list_(pa.int64()))], ["doc_id", "n", "digest", "sketch"])
@@ -72,11 +74,6 @@ def sketches(docs: DataFrame, n: int) -> DataFrame:
     return docs.select("doc_id", text_of(F.col("text")).alias("text")).mapInArrow(run, "doc_id long, n long, digest binary, sketch array<long>")
 
 
-def size_class(n: int) -> int:
-    """Sizes of a ratio of at most 1.25 lie in the same class or in neighbouring ones."""
-    return math.floor(math.log(n) / math.log(1.2501))
-
-
 def indexed(sketch: list[int], n: int, frequency: dict[int, int], percent: int) -> list[int]:
     """The values of a sketch that are indexed: the rarest, so many that similar sets share REQUIRED (small ones: 1)."""
     keep = n - -(-percent * n // 100) + 1 if n <= EXACT else len(sketch) - SHARED + REQUIRED
@@ -84,26 +81,23 @@ def indexed(sketch: list[int], n: int, frequency: dict[int, int], percent: int)
 
 
 def inverted_lists(nodes: DataFrame, percent: int) -> DataFrame:
-    """value, size_class, own (false: of the next larger class), id, n: rows of lists of at least two, one of them its own."""
+    """v (value), id, n, size of the list: rows of lists of at least two."""
     values = nodes.select(F.explode("sketch").alias("v")).groupBy("v").count().where("count > 2")
     frequent = values.orderBy(F.desc("count"), "v").limit(MAX_FREQUENT).toArrow()
     frequency = nodes.sparkSession.sparkContext.broadcast(dict(zip(frequent.column("v").to_pylist(), frequent.column("count").to_pylist(), strict=True)))
 
     def run(batches):
         for batch in batches:
-            rows = []
-            for ident, n, sketch in zip(*(batch.column(c).to_pylist() for c in ("id", "n", "sketch")), strict=True):
-                c = size_class(n)
-                for v in indexed(sketch, n, frequency.value, percent):
-                    rows.append((v, c, True, ident, n))
-                    rows.append((v, c - 1, False, ident, n))
-            for k in range(0, len(rows), 1 << 16):
-                columns = zip(*rows[k : k + (1 << 16)], strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.int64()), strict=True)], ["v", "c", "own", "id", "n"])
+            ids, sizes, own = batch.column("id").to_numpy(), batch.column("n").to_numpy(), []
+            for n, sketch in zip(sizes.tolist(), batch.column("sketch").to_pylist(), strict=True):
+                own.append(indexed(sketch, n, frequency.value, percent))
+            times = [len(x) for x in own]
+            columns = pa.array(np.concatenate([np.array(x, np.int64) for x in own])), pa.array(np.repeat(ids, times)), pa.array(np.repeat(sizes, times))
+            yield pa.RecordBatch.from_arrays(list(columns), ["v", "id", "n"])
 
-    rows = nodes.select("id", "n", "sketch").mapInArrow(run, "v long, c int, own boolean, id long, n long")
-    shared = rows.groupBy("v", "c").agg(F.count("*").alias("size"), F.max("own").alias("any")).where("size > 1 AND any").select("v", "c", "size")
-    return written(rows.join(shared, ["v", "c"]), "near-lists")
+    rows = nodes.select("id", "n", "sketch").mapInArrow(run, "v long, id long, n long")
+    shared = written(rows.groupBy("v").agg(F.count("*").alias("rows")).where("rows > 1").withColumn("size", F.col("rows")), "near-shared")
+    return written(joined_spread(rows, shared, ("v",), F.xxhash64("id")).where("size IS NOT NULL"), "near-lists")
 
 
 def alike(a: str, b: str, percent: int) -> Column:
@@ -119,9 +113,9 @@ def enough(pairs: DataFrame) -> DataFrame:
 
 def hubs(lists: DataFrame, percent: int) -> DataFrame:
     """(a, b, na, nb): for each id b the pivot a that it shares most values with; a list's pivot is the one of the largest lists."""
-    weight = lists.where("own").groupBy("id").agg(F.sum("size").alias("weight"))
-    pivot = lists.where("own").join(weight, "id").groupBy("v", "c").agg(F.max(F.struct("weight", (-F.col("id")).alias("minus"), "n")).alias("p"))
-    rows = lists.join(pivot, ["v", "c"]).where(F.col("id") != -F.col("p.minus"))
+    weight = lists.groupBy("id").agg(F.sum("size").alias("weight"))
+    pivot = lists.join(weight, "id").groupBy("v").agg(F.max(F.struct("weight", (-F.col("id")).alias("minus"), "n")).alias("p"), F.count("*").alias("rows"))
+    rows = joined_spread(lists, pivot, ("v",), F.xxhash64("id")).where(F.col("id") != -F.col("p.minus"))
     pairs = enough(rows.select((-F.col("p.minus")).alias("a"), F.col("id").alias("b"), F.col("p.n").alias("na"), F.col("n").alias("nb")).where(alike("na", "nb", percent)))
     best = pairs.groupBy("b").agg(F.max(F.struct("shared", (-F.col("a")).alias("minus"), "na", "nb")).alias("x"))
     return best.select((-F.col("x.minus")).alias("a"), "b", F.col("x.na").alias("na"), F.col("x.nb").alias("nb"))
@@ -159,44 +153,70 @@ def spanning_links(ids: list[int], sets: list[np.ndarray], first: int, percent:
     return out
 
 
-def linked_in_groups(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) within the groups of hubs: of each group all pairs are compared, a task holds two blocks."""
-    members = pairs.select(F.col("a").alias("g"), F.col("b").alias("id")).union(pairs.select(F.col("a").alias("g"), F.col("a").alias("id")).distinct())
-    counted = members.join(members.groupBy("g").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "g")
-    # Block k meets blocks of lower numbers and itself.
-    own = counted.withColumn("k", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.greatest("k", j).alias("hi"), F.least("k", j).alias("lo")))
-    dealt = own.join(sets, "id").select("g", "id", "set", "k", F.explode(meets).alias("m"))
+def with_own(pairs: DataFrame, key: str, table: DataFrame) -> DataFrame:
+    """pairs (a, b, ...) with the columns that table (id, ...) has for their `key`; an id in many pairs gets a copy for each PART of them."""
+    salt = F.xxhash64("a", "b")
+    numbers = pairs.groupBy(key).agg(F.count("*").alias("rows")).withColumn("_parts", F.ceil(F.col("rows") / PART).cast("int"))
+    dealt = joined_spread(pairs, numbers, (key,), salt).withColumn("_part", F.pmod(salt, F.col("_parts")).cast("int")).drop("_parts")
+    copies = numbers.join(table.withColumnRenamed("id", key), key).withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
+    return dealt.join(copies.drop("rows", "_parts"), [key, "_part"]).drop("_part")
+
+
+def linked_in_groups(pairs: DataFrame, left_over: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) of those left over (a: the hub, b) with any of their hub's group; a task holds a block of those and one of all."""
+    apart = left_over.select(F.col("a").alias("g"), F.col("b").alias("id"), F.lit(True).alias("apart"))
+    near = pairs.select(F.col("a").alias("g"), F.col("b").alias("id")).join(left_over.select(F.col("a").alias("g")).distinct(), "g", "left_semi")
+    members = near.union(near.select("g", F.col("g").alias("id")).distinct()).join(apart, ["g", "id"], "left")
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    numbers = members.groupBy("g").agg(F.count("*").alias("rows"), blocks(F.count("*")).alias("all"), blocks(F.count("apart")).alias("some"))
+    counted = joined_spread(members, numbers, ("g",), F.xxhash64("id"))
+    own = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
+    place = lambda first, hi, lo: F.struct(F.lit(first).alias("first"), hi.alias("hi"), lo.alias("lo"))
+    as_one = F.transform(F.sequence(F.lit(0), F.col("all") - 1), lambda k: place(True, own(F.col("some")), k))
+    as_other = F.transform(F.sequence(F.lit(0), F.col("some") - 1), lambda k: place(False, k, own(F.col("all"))))
+    dealt = counted.join(sets, "id").select("g", "id", "set", F.explode(F.when(F.col("apart").isNotNull(), F.concat(as_one, as_other)).otherwise(as_other)).alias("m"))
 
     def compare(table: pa.Table) -> pa.Table:
-        hi = table.column("hi")[0].as_py()
-        rows = sorted(zip(table.column("k").to_pylist(), table.column("id").to_pylist(), (x.values.to_numpy() for x in table.column("set")), strict=True), key=lambda r: (r[0] != hi, r[1]))
-        first = sum(k == hi for k, _, _ in rows) % len(rows)  # one block alone: all its pairs
-        links = spanning_links([i for _, i, _ in rows], [x for _, _, x in rows], first, percent)
+        rows = sorted(zip(table.column("first").to_pylist(), table.column("id").to_pylist(), (x.values.to_numpy() for x in table.column("set")), strict=True), key=lambda r: (not r[0], r[1]))
+        first = sum(f for f, _, _ in rows)
+        links = spanning_links([i for _, i, _ in rows], [x for _, _, x in rows], first, percent) if 0 < first < len(rows) else []
         return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
 
-    return dealt.select("g", "id", "set", "k", "m.hi", "m.lo").groupBy("g", "hi", "lo").applyInArrow(compare, "a long, b long")
+    return dealt.select("g", "id", "set", "m.first", "m.hi", "m.lo").groupBy("g", "hi", "lo").applyInArrow(compare, "a long, b long").where("a <> b")
 
 
 def all_pairs(lists: DataFrame, roots: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
-    """All pairs of one list that are of different components and of different groups."""
+    """All pairs of one list that are of different components and of different groups; long lists are paired block by block."""
     own = lists.join(roots, "id", "left").join(groups, "id", "left").withColumns({"root": F.coalesce("root", "id"), "g": F.coalesce("g", "id")})
     ends = [F.expr(f"{f}({x})").alias(f"{f}_{x}") for x in ("root", "g") for f in ("min", "max")]
-    mixed = own.groupBy("v", "c").agg(*ends, F.max("own").alias("any")).where("min_root < max_root AND min_g < max_g AND any").select("v", "c")
-    rows = own.join(mixed, ["v", "c"])
-    left = rows.where("own").select("v", "c", F.col("id").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"), F.col("g").alias("ga"))
-    right = rows.select("v", "c", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"), F.col("g").alias("gb"), "own")
-    found = left.join(right, ["v", "c"]).where((F.col("ra") != F.col("rb")) & (F.col("ga") != F.col("gb")) & (~F.col("own") | (F.col("a") < F.col("b"))) & alike("na", "nb", percent))
+    mixed = own.groupBy("v").agg(*ends, F.count("*").alias("rows")).where("min_root < max_root AND min_g < max_g")
+    mixed = mixed.select("v", "rows", F.ceil(F.col("rows") / LIST_BLOCK).cast("int").alias("blocks"))
+    rows = written(joined_spread(own.select("v", "id", "n", "root", "g"), mixed, ("v",), F.xxhash64("id")).where("blocks IS NOT NULL"), "near-mixed")
+    left = rows.select("v", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), F.col("id").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"), F.col("g").alias("ga"))
+    right = rows.select("v", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("id").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"), F.col("g").alias("gb"))
+    found = left.join(right, ["v", "block"]).where((F.col("ra") != F.col("rb")) & (F.col("ga") != F.col("gb")) & (F.col("a") < F.col("b")) & alike("na", "nb", percent))
     return enough(found.select("a", "b", "na", "nb")).drop("shared")
 
 
+def alike_sketches(sa: Column, sb: Column) -> Column:
+    """Does the sketch of the union estimate enough similarity?"""
+    union = F.slice(F.array_sort(F.array_union(sa, sb)), 1, K)
+    return 100 * F.size(F.array_intersect(F.array_intersect(sa, sb), union)) >= MIN_ESTIMATE * F.size(union)
+
+
+def alike_sets(sa: Column, sb: Column, percent: int) -> Column:
+    common = F.size(F.array_intersect(sa, sb))
+    return 100 * common >= percent * (F.size(sa) + F.size(sb) - common)
+
+
+def both_ends(pairs: DataFrame, table: DataFrame) -> DataFrame:
+    """pairs (a, b) with what table (id, x) has for both, as xa and xb."""
+    return pairs.join(table.withColumnsRenamed({"id": "a", "x": "xa"}), "a").join(table.withColumnsRenamed({"id": "b", "x": "xb"}), "b")
+
+
 def estimated(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Pairs whose union's sketch estimates enough similarity."""
-    own = nodes.select("id", "sketch")
-    both = pairs.join(own.withColumnsRenamed({"id": "a", "sketch": "sa"}), "a").join(own.withColumnsRenamed({"id": "b", "sketch": "sb"}), "b")
-    union = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, K)
-    common = F.size(F.array_intersect(F.array_intersect("sa", "sb"), union))
-    return both.where(100 * common >= MIN_ESTIMATE * F.size(union)).select("a", "b", "na", "nb")
+    """Pairs (a, b) whose sketches are alike."""
+    return both_ends(pairs.select("a", "b"), nodes.select("id", F.col("sketch").alias("x"))).where(alike_sketches(F.col("xa"), F.col("xb"))).select("a", "b")
 
 
 def full_sets(docs: DataFrame, pairs: DataFrame, n: int) -> DataFrame:
@@ -217,34 +237,39 @@ def full_sets(docs: DataFrame, pairs: DataFrame, n: int) -> DataFrame:
         for batch in batches:
             at = batch.column("at").to_numpy()
             chosen = np.flatnonzero((sent.value[at // 64] >> (at % 64)) & 1)
-            part = batch.take(pa.array(chosen))
-            sets = [shingle_set(x.as_py(), n) for x in part.column("text")]
-            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(sets, pa.list_(pa.int64()))], ["id", "set"])
+            for part in slices(iter([batch.take(pa.array(chosen))]), "text"):
+                sets = [shingle_set(x.as_py(), n) for x in part.column("text")]
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(sets, pa.list_(pa.int64()))], ["id", "set"])
 
     own = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("id"), text_of(F.col("text")).alias("text")).withColumn("at", place)
     return own.mapInArrow(run, "id long, set array<long>")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
+def tried(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b, linked) of pairs with their hubs a: sketches, the first values of the sets, tell which sets are compared."""
+    both = with_own(pairs.select("a", "b"), "a", sets.withColumnRenamed("set", "sa")).join(sets.withColumnsRenamed({"id": "b", "set": "sb"}), "b")
+    near = F.when(alike_sketches(F.slice("sa", 1, K), F.slice("sb", 1, K)), alike_sets(F.col("sa"), F.col("sb"), percent)).otherwise(False)
+    return both.select("a", "b", near.alias("linked"))
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) whose full sets are similar enough."""
-    sets = written(full_sets(docs, pairs, n), "near-sets")
-    both = pairs.join(sets.withColumnsRenamed({"id": "b", "set": "sb"}), "b").join(sets.withColumnsRenamed({"id": "a", "set": "sa"}), "a")
-    common = F.size(F.array_intersect("sa", "sb"))
-    return both.where(100 * common >= percent * (F.size("sa") + F.size("sb") - common)).select("a", "b")
+    return both_ends(pairs, sets.withColumnRenamed("set", "x")).where(alike_sets(F.col("xa"), F.col("xb"), percent)).select("a", "b")
 
 
 def components(edges: DataFrame) -> DataFrame:
     """id and root (the smallest id reachable) for each end of an edge (a, b), by alternating large-star and small-star steps."""
+    least = lambda df: df.groupBy("u").agg(F.min("v").alias("m"))
     edges = written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "near-edges")
     before = None
     while True:
-        both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(low, "u")
-        small = joined.select("u", F.col("m").alias("v")).union(joined.select(F.col("v").alias("u"), F.col("m").alias("v"))).where("u <> v")
-        edges = written(small.distinct(), "near-edges")
+        both = edges.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.*")
+        large = both.where("v > u").join(least(both), "u").select(F.col("v").alias("u"), F.least("m", "u").alias("v"))
+        # Those above a vertex now hang on the least around it; then its own lesser neighbours do.
+        joined = large.join(least(large), "u")
+        small = joined.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
+        older, edges = edges, written(small.where("u <> v").distinct(), "near-edges")
+        remove_written(older)
         now = edges.agg(F.count("*").alias("n"), F.coalesce(F.bit_xor(F.xxhash64("u", "v")), F.lit(0)).alias("x")).first()
         if now == before:
             roots = edges.select(F.col("u").alias("id"), F.col("v").alias("root"))
@@ -255,24 +280,31 @@ def components(edges: DataFrame) -> DataFrame:
 def links(docs: DataFrame, nodes: DataFrame, n: int, percent: int) -> DataFrame:
     """id and root of all representatives that are linked with another."""
     lists = inverted_lists(nodes, percent)
-    pairs = written(estimated(hubs(lists, percent), nodes), "near-hubs")
+    pairs = written(hubs(lists, percent), "near-hubs")
     sets = written(full_sets(docs, pairs, n), "near-sets")
-    roots = components(linked_in_groups(pairs, sets, percent))
+    compared = written(tried(pairs, sets, percent), "near-tried")
+    within = linked_in_groups(pairs, compared.where("NOT linked").select("a", "b"), sets, percent)
+    roots = written(components(compared.where("linked").select("a", "b").union(within)), "near-roots")
     groups = pairs.select(F.col("b").alias("id"), F.col("a").alias("g"))
     rest = written(estimated(all_pairs(lists, roots, groups, percent), nodes), "near-pairs")
-    return components(confirmed(rest, docs, n, percent).union(roots.select(F.col("id").alias("a"), F.col("root").alias("b"))))
+    remove_written(sets)
+    more = written(full_sets(docs, rest, n), "near-sets")
+    return components(confirmed(rest, more, percent).union(roots.select(F.col("id").alias("a"), F.col("root").alias("b"))))
 
 
 def dedup(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id and kept, for each row of docs. Linked: 100 * intersection >= percent * union."""
     docs = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
-    own = written(sketches(docs, n), "near-sketches")
-    classes = own.where("doc_id IS NOT NULL AND n > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    nodes = own.join(classes, (own["doc_id"] == classes["rep"]) & (own["digest"] == classes["digest"]), "left_semi").dropDuplicates(["doc_id", "digest"])
-    nodes = written(nodes.select(F.col("doc_id").alias("id"), "n", "sketch"), "near-nodes")
+    sketched = written(sketches(docs, n).withColumn("uid", F.monotonically_increasing_id()), "near-sketches")
+    some = "doc_id IS NOT NULL AND n > 0"
+    classes = written(sketched.where(some).groupBy("digest").agg(F.min(F.struct("doc_id", "uid")).alias("least"), F.count("*").alias("rows")), "near-classes")
+    nodes = written(sketched.join(classes.select(F.col("least.uid").alias("uid")), "uid", "left_semi").select(F.col("doc_id").alias("id"), "n", "sketch"), "near-nodes")
+    own = written(sketched.select("doc_id", "n", "digest", "uid"), "near-own")
+    remove_written(sketched)
     roots = links(docs, nodes, n, percent)
-    component = classes.join(roots, classes["rep"] == roots["id"], "left").select("digest", F.coalesce("root", "rep").alias("component_id"))
-    found = own.where("doc_id IS NOT NULL AND n > 0").select("doc_id", "n", "digest").join(component, "digest")
-    rest = own.where("doc_id IS NULL OR n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"))
-    out = found.select("doc_id", "n", "component_id").union(rest)
+    rep = F.col("least.doc_id")
+    component = classes.join(roots, rep == roots["id"], "left").select("digest", "rows", F.coalesce("root", rep).alias("component_id"))
+    found = joined_spread(own.where(some), written(component, "near-components"), ("digest",), F.col("uid")).select("doc_id", "n", "component_id")
+    rest = own.where(f"NOT ({some})").select("doc_id", "n", F.col("doc_id").alias("component_id"))
+    out = found.union(rest)
     return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))

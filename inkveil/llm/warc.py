@@ -26,14 +26,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkveil.llm.common import remove_written, scratch_path, written
+from inkveil.llm.common import joined_spread, remove_written, scratch_path, written
 
 #: Records in an archive at most: what a run holds.
 FILE_RECORDS = 4000
 #: Bytes of payloads in an archive at most, unless a single one has more.
 FILE_BYTES = 1 << 29
-#: Groups of more copies than this, and than that part of all copies, are spread over tasks.
-LARGE_ROWS, MAX_LARGE = 1000, 10_000
 #: Captures of a merged range on average; keys sampled to find a range's boundary, and in all, at most; characters of a key in a boundary.
 RANGE_ROWS, RANGE_SAMPLE, MAX_SAMPLE, KEY_CHARS = 20_000, 32, 1_000_000, 200
 #: Time of capture where none is given: this second plus the page_id.
@@ -60,17 +58,8 @@ def prepared(pages: DataFrame, second: Column | None = None) -> DataFrame:
 
 
 def with_kept(own: DataFrame, copies: DataFrame) -> DataFrame:
-    """own with `kept`, the page_id that its copies refer to, or null for a payload without copies.
-
-    Large groups of copies, MAX_LARGE at most by their share of all rows, are broadcast, so their rows are spread over the join's tasks by a hash."""
-    total = copies.agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("n")).first().n
-    large = F.col("rows") > max(LARGE_ROWS, total // MAX_LARGE)
-    named = lambda df, name: df.select(F.col("digest").alias(f"d_{name}"), F.col("n").alias(f"n_{name}"), F.col("kept").alias(f"kept_{name}"))
-    at_once, others = named(copies.where(large), "large"), named(copies.where(~large), "small")
-    first = own.join(F.broadcast(at_once), (F.col("digest") == F.col("d_large")) & (F.col("n") == F.col("n_large")), "left")
-    spread = first.withColumn("salt", F.when(F.col("d_large").isNull(), 0).otherwise(F.xxhash64("page_id", "url")))
-    found = spread.join(others.withColumn("none", F.lit(0).cast("long")), (F.col("digest") == F.col("d_small")) & (F.col("n") == F.col("n_small")) & (F.col("salt") == F.col("none")), "left")
-    return found.select(*own.columns, F.coalesce("kept_large", "kept_small").alias("kept"))
+    """own with `kept`, the page_id that its copies refer to, or null for a payload without copies."""
+    return joined_spread(own, copies, ("digest", "n"), F.xxhash64("page_id", "url"))
 
 
 def records(own: DataFrame) -> DataFrame:
