@@ -24,7 +24,8 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents")).drop("pieces")
+    """Each document's words that the mix takes, and the shards that they're dealt to."""
+    return mixing.mix(table(spark, sf_dir, "documents")).withColumn("shards", F.col("pieces.shard")).drop("pieces")
 
 
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

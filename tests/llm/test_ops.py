@@ -54,7 +54,7 @@ def ids_of(t):
 @given(st.lists(st.text(st.characters(exclude_categories=["Cs"]), max_size=60), max_size=6))
 @settings(max_examples=60, deadline=None)
 def test_chunks_encode_as_whole_texts(texts):
-    assert encoder(VOCABULARY).encode(texts) == [ids_of(t) for t in texts]
+    assert encoder(VOCABULARY).encode([t.encode() for t in texts]) == [ids_of(t) for t in texts]
 
 
 @pytest.mark.parametrize("bits", [False, True])
@@ -231,11 +231,33 @@ def test_mixing(spark):
         assert abs(taken[s] - target[s]) <= 1
     order = sorted(size, key=lambda s: (s is None, s or ""))
     assert np.allclose([target[s] for s in order], mixing.targets(np.array([size[s] for s in order]), np.array([(5, 2, 1)[k % 3] for k in range(len(order))])))
+    # Blocks by brute force: a source's documents by hash in blocks, whole passes, then blocks as the permutation draws them.
+    hashes = {(r.doc_id, r.text): r.h for r in docs(spark, rows).withColumn("h", mixing.row_hash()).collect()}
+    aims = {x["source"]: x for x in mixing.goals(dict(size), mixing.WEIGHTS, mixing.MAX_REPEATS, 16)}
+    drawn = {}
+    for s, x in aims.items():
+        at, own = 0, []
+        for r in sorted((r for r in got if r.source == s), key=lambda r: (hashes[r.doc_id, r.text] % 64, hashes[r.doc_id, r.text])):
+            own.append(((at // 16 * x["step"] + x["shift"]) % x["blocks"], hashes[r.doc_id, r.text], r["size"]))
+            at += r["size"]
+        whole, left, want = x["take"] // max(1, x["source_size"]), 0, []
+        left = x["take"] - whole * x["source_size"]
+        for _, h, n in sorted(own):
+            want.append((h, whole * n + min(n, max(0, left))))
+            left -= n
+        drawn[s] = sorted(want)
+        assert drawn[s] == sorted((hashes[r.doc_id, r.text], r.taken) for r in got if r.source == s)
+    # Shards: equally many blocks, and no draw twice.
+    by_shard = Counter(p.shard for r in got for p in r.pieces)
+    assert set(by_shard) == {0, 1, 2} and sum(by_shard.values()) == sum(len(r.pieces) for r in got)
     again = mixing.mix(docs(spark, rows).repartition(7), ("doc_id", "source", "text"), block_words=16, shards=3).collect()
     key = lambda rs: sorted((str(r.doc_id), r.taken, str(r.pieces)) for r in rs)
     assert key(got) == key(again)
     mixed = mixing.mixed_documents(docs(spark, rows))
     assert mixed.columns == docs(spark).columns and sum(len(words(r.text)) for r in mixed.collect()) == sum(taken.values())
+    dealt = mixing.mixed_documents(docs(spark, rows), block_words=16, shards=3).withColumn("part", F.spark_partition_id()).collect()
+    times = Counter((r.doc_id, r.part) for r in dealt)
+    assert Counter(i for i, _ in times.elements()) == Counter(r.doc_id for r in got for _ in r.pieces) and len({r.part for r in dealt}) <= 3
     assert mixing.mix(docs(spark, EMPTY)).count() == 0
 
 
