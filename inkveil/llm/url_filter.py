@@ -201,8 +201,9 @@ def matched_rule(host: Column, path: Column, rules: list[tuple[str, str]]) -> Co
         return F.lit(None).cast("struct<rule:string,path:string,verdict:string>")
     entry = lambda r: F.struct(F.lit(r[0]).alias("rule"), F.lit(r[1]).alias("path"), F.lit(r[2]).alias("verdict"))
     known = F.create_map(*[x for h, rs in by_host.items() for x in (F.lit(h), F.array(*map(entry, rs)))])
-    labels = F.split(host, r"\.", -1)
-    ends = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
+    # The host's last labels, as many as rules have; a host of fewer is its own end.
+    most = max(h.count(".") for h in by_host) + 1
+    ends = F.array_distinct(F.array(*[F.substring_index(host, ".", -k) for k in range(1, most + 1)]))
     fits = F.flatten(F.transform(ends, lambda h: F.filter(F.coalesce(F.element_at(known, h), F.array().cast("array<struct<rule:string,path:string,verdict:string>>")), lambda r: F.startswith(path, r["path"]))))
     return F.get(F.sort_array(F.transform(fits, lambda r: F.struct(F.length(r["rule"]).alias("n"), r.alias("r"))), asc=False), F.lit(0))["r"]
 
