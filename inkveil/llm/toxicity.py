@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkveil.llm.common import text_of, written
+from inkveil.llm.common import remove_written, slices, text_of, written
 
 MAX_TOXIC, MAX_CLEAN = 3000, 6000
 THRESHOLD = 0.3
@@ -210,6 +210,7 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[Voters, np.ndarray]:
 
     # At most MAX_TOXIC + MAX_CLEAN lists of votes reach the driver; their order mustn't hang on the run's.
     table = texts.mapInArrow(vote, "toxic int, votes array<int>").toArrow()
+    remove_written(texts)
     rows = sorted(zip(table.column("toxic").to_pylist(), table.column("votes").to_pylist(), strict=True))
     given = np.array([y for y, _ in rows], float)
     if not rows or given.min() == given.max():
@@ -241,12 +242,14 @@ def sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
     some = [labels.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for y, n in ((1, MAX_TOXIC), (0, MAX_CLEAN))]
 
     def shorten(batches):
-        for batch in batches:
+        for batch in slices(batches, "text"):
             words = [b" ".join(sorted(words_of(x))) for x in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), batch.column("toxic")], ["words", "toxic"])
 
     # At most MAX_TOXIC + MAX_CLEAN ids are broadcast.
-    chosen = docs.select("doc_id", text_of(F.col("text")).alias("text")).join(F.broadcast(some[0].union(some[1])), "doc_id")
+    found = docs.select("doc_id", text_of(F.col("text")).alias("text")).join(F.broadcast(some[0].union(some[1])), "doc_id")
+    # Rows of equal ids are one text, that with the smallest hash, so the sample is bounded whatever the ids are.
+    chosen = found.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text", "toxic")).alias("own")).select("own.text", "own.toxic")
     return chosen.select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(shorten, "words binary, toxic int")
 
 
@@ -259,7 +262,7 @@ def score(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = ("doc_id",
 
     def run(batches):
         voters, weights = sent.value
-        for batch in batches:
+        for batch in slices(batches, "_text"):
             found = [score_of(voters, weights, words_of(x)) for x in batch.column(batch.num_columns - 1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, pa.float64())], [*batch.schema.names[:-1], "score"])
 
