@@ -48,6 +48,10 @@ def distance(a: str, b: str, most: int) -> int | None:
     return above[-1] if above[-1] <= most else None
 
 
+#: The key of a word that matches a name has at most so many characters more or less than the name's key: two edits, and one for letters that folding parts.
+MOST_LONGER = 3
+
+
 def tolerance(n: int) -> int:
     """Tenths of edits that a name of n letters forgives."""
     return 4 if n <= 4 else 10 if n <= 7 else 20

@@ -529,14 +529,19 @@ def date_matches(spark, sf_dir):
 
 @query()
 def ocr_distance_pairs(spark, sf_dir):
-    """Distinct words of documents within reach of a record's last name, with their distance in tenths."""
-    own = _tokens(spark, sf_dir).select("raw").distinct()
-
-    @F.pandas_udf("array<struct<name: string, exact: boolean, tenths: int>>")
-    def near(s: pd.Series) -> pd.Series:
-        return s.map(lambda w: [{"name": n, "exact": m[0], "tenths": m[1]} for n in (*pages.LAST, "thione", "reander") if (m := fuzzy.match(w, n))])
-
-    return own.select("raw", F.inline(near("raw")))
+    """Distinct words of documents within reach of a subject's name, with their distance in tenths. Names meet words of about their length."""
+    words = _tokens(spark, sf_dir).select("raw").distinct()
+    parts = F.explode(F.split("full_name", " ")).alias("name")
+    near_lengths = F.explode(F.sequence(F.length(text.ocr_key(F.col("name"))) - fuzzy.MOST_LONGER, F.length(text.ocr_key(F.col("name"))) + fuzzy.MOST_LONGER)).alias("n")
+    entered = pages.subjects(spark, sf_dir).select(parts).distinct().select("name", near_lengths)
+    pairs = words.join(entered, F.length(text.ocr_key(F.col("raw"))) == F.col("n")).select("raw", "name")
+
+    @F.pandas_udf("exact boolean, tenths int")
+    def near(raw: pd.Series, name: pd.Series) -> pd.DataFrame:
+        found = [fuzzy.match(w, n) or (None, None) for w, n in zip(raw, name, strict=True)]
+        return pd.DataFrame({"exact": [m[0] for m in found], "tenths": pd.array([m[1] for m in found], "Int32")})
+
+    return pairs.select("raw", "name", near("raw", "name").alias("m")).select("raw", "name", "m.*").where("tenths IS NOT NULL")
 
 
 def _close_forms(spark: SparkSession, sf_dir: str) -> DataFrame:

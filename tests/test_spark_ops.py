@@ -4,6 +4,7 @@ import math
 import os
 import random
 import re
+from types import SimpleNamespace
 
 import duckdb
 import pytest
@@ -17,7 +18,7 @@ from inkveil.functions.words import Words
 from inkveil.operators import boxes, gate, report, spans
 from inkveil.plans.redaction import redact
 from inkveil.sources import pages
-from inkveil.streaming.stream import read_pages, redact_stream
+from inkveil.streaming.stream import Progress, read_pages, redact_stream
 
 SF = "/root/testdata/sf0.001"
 
@@ -167,6 +168,15 @@ def test_stream_hooks(spark, tmp_path):
     assert sorted(n for n, _ in seen) == [0, 1] and sum(c for _, c in seen) == 6
 
 
+def test_progress_is_told_seldom():
+    told = []
+    listener = Progress(lambda *x: told.append(x), rows=10)
+    listener.onQueryStarted(None)
+    for k, n in enumerate((4, 4, 4, 20, 1)):
+        listener.onQueryProgress(SimpleNamespace(progress=SimpleNamespace(batchId=k, numInputRows=n)))
+    assert told == [(2, 4, 12), (3, 20, 32)]
+
+
 def test_files(spark, tmp_path):
     locked = b"%PDF-1.7 /Encrypted words 1 0 obj endobj trailer <</Size 3 /Encrypt 3 0 R>>"
     for name, data in (("a.pdf", b"%PDF-1.7 says /Encrypt 3 times, no trailer"), ("b.pdf", b"hello"), ("c.pdf", locked), ("e.pdf", b"%PDF" + b"x" * 500)):
