@@ -39,8 +39,8 @@ K = 96
 SHARED, REQUIRED, EXACT = 56, 4, 76
 #: Estimated similarity (percent) from which full sets are compared.
 MIN_ESTIMATE = 58
-#: Sketch values whose frequency the executors know; all others count as rare.
-MAX_FREQUENT = 1 << 16
+#: Sketch values whose frequency the executors know (12 bytes each); all others count as rare. It only orders values, so no link hangs on it.
+MAX_FREQUENT = 1 << 21
 #: Members of a block of full sets, rows of a block of a list, and pairs that get the same copy of a full set.
 BLOCK, LIST_BLOCK, PART = 256, 1024, 1024
 #: Most words of 64 bits in the bitmap of candidates.
@@ -74,26 +74,42 @@ def sketches(docs: DataFrame, n: int) -> DataFrame:
     return docs.select("doc_id", text_of(F.col("text")).alias("text")).mapInArrow(run, "doc_id long, n long, digest binary, sketch array<long>")
 
 
-def indexed(sketch: list[int], n: int, frequency: dict[int, int], percent: int) -> list[int]:
-    """The values of a sketch that are indexed: the rarest, so many that similar sets share REQUIRED (small ones: 1)."""
-    keep = n - -(-percent * n // 100) + 1 if n <= EXACT else len(sketch) - SHARED + REQUIRED
-    return sorted(sketch, key=lambda v: (frequency.get(v, 0), v))[: max(1, keep)]
+def indexed(sketches: pa.Array, sizes: np.ndarray, known: np.ndarray, times: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """The values that are indexed, and the numbers of their sketches: the rarest of each, so many that similar sets share REQUIRED (small ones: 1).
+
+    known (ascending), times: the frequent values and how many sketches hold them."""
+    values, lengths = sketches.flatten().to_numpy(), sketches.value_lengths().to_numpy()
+    owner = np.repeat(np.arange(len(sizes)), lengths)
+    at = np.minimum(np.searchsorted(known, values), max(0, len(known) - 1))
+    often = np.where(known[at] == values, times[at], 0) if len(known) else np.zeros(len(values), np.int64)
+    order = np.lexsort((values, often, owner))
+    rank = np.arange(len(values)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    keep = np.where(sizes <= EXACT, sizes - -(-percent * sizes // 100) + 1, lengths - SHARED + REQUIRED)
+    chosen = order[rank < np.repeat(np.maximum(keep, 1), lengths)]
+    return values[chosen], owner[chosen]
+
+
+def frequent_values(nodes: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The values that more than two sketches hold (ascending) and their numbers; those of the largest numbers if they are more than MAX_FREQUENT."""
+    counted = written(nodes.select(F.explode("sketch").alias("v")).groupBy("v").count().where("count > 2"), "near-values")
+    at_least = counted.agg(*(F.count(F.when(F.col("count") >= (1 << k), 1)).alias(str(k)) for k in range(1, 48))).first()
+    bound = next((k for k in range(1, 48) if at_least[str(k)] <= MAX_FREQUENT), 48)
+    found = counted.where(F.col("count") >= (1 << bound)).toArrow()
+    remove_written(counted)
+    values, times = found.column("v").to_numpy(), found.column("count").to_numpy()
+    order = np.argsort(values)
+    return values[order], times[order].astype(np.int32)
 
 
 def inverted_lists(nodes: DataFrame, percent: int) -> DataFrame:
     """v (value), id, n, size of the list: rows of lists of at least two."""
-    values = nodes.select(F.explode("sketch").alias("v")).groupBy("v").count().where("count > 2")
-    frequent = values.orderBy(F.desc("count"), "v").limit(MAX_FREQUENT).toArrow()
-    frequency = nodes.sparkSession.sparkContext.broadcast(dict(zip(frequent.column("v").to_pylist(), frequent.column("count").to_pylist(), strict=True)))
+    frequency = nodes.sparkSession.sparkContext.broadcast(frequent_values(nodes))
 
     def run(batches):
         for batch in batches:
-            ids, sizes, own = batch.column("id").to_numpy(), batch.column("n").to_numpy(), []
-            for n, sketch in zip(sizes.tolist(), batch.column("sketch").to_pylist(), strict=True):
-                own.append(indexed(sketch, n, frequency.value, percent))
-            times = [len(x) for x in own]
-            columns = pa.array(np.concatenate([np.array(x, np.int64) for x in own])), pa.array(np.repeat(ids, times)), pa.array(np.repeat(sizes, times))
-            yield pa.RecordBatch.from_arrays(list(columns), ["v", "id", "n"])
+            ids, sizes = batch.column("id").to_numpy(), batch.column("n").to_numpy()
+            values, owner = indexed(batch.column("sketch"), sizes, *frequency.value, percent)
+            yield pa.RecordBatch.from_arrays([pa.array(values), pa.array(ids[owner]), pa.array(sizes[owner])], ["v", "id", "n"])
 
     rows = nodes.select("id", "n", "sketch").mapInArrow(run, "v long, id long, n long")
     shared = written(rows.groupBy("v").agg(F.count("*").alias("rows")).where("rows > 1").withColumn("size", F.col("rows")), "near-shared")
