@@ -19,7 +19,6 @@ from __future__ import annotations
 import zlib
 from collections import deque
 from collections.abc import Iterator
-from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkveil.llm.common import SPACES, text_of
+from inkveil.llm.common import SPACES, slices, text_of
 from inkveil.llm.tokens import END_ID, GROUP, encoder
 
 LENGTH = 2048
@@ -39,71 +38,94 @@ LONG_SENTENCE = 96
 SMALLEST = 64
 BLOCK_TOKENS = 1 << 20
 
-_LAST = itemgetter(-1)
+_NONE = np.zeros(0, np.int64)
 _STOPS = np.isin(np.arange(256), list(b".!?"))
 _BLANK = np.isin(np.arange(256), list(SPACES))
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, padding long"
 
 
-def cut_points(chunks: list[bytes], text: bytes, ids: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Positions inside a document (in tokens, without 0 and its end) where it can be cut, and the penalties there."""
-    if not chunks:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    after = np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids))) >> 2
-    sentence = _STOPS[np.frombuffer(bytes(map(_LAST, chunks)), np.uint8)]
+def cut_points(text: bytes, ids: list[bytes]) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """All ids, from those of each chunk; positions (in tokens, without 0 and the end) where the document can be cut, and the penalties there."""
+    if not ids:
+        return b"", _NONE, _NONE
     data = np.frombuffer(text, np.uint8)
     blank = _BLANK[data]
-    starts = ~blank
-    starts[1:] &= blank[:-1]
-    words = np.cumsum(starts)[data == 10]  # words before each line feed
-    sentence[words[words > 0] - 1] = True
-    at = after[sentence]
-    gaps = np.diff(at, prepend=0)
-    if len(at) and not gaps.all():  # words without tokens
-        at = at[gaps > 0]
-    if max(gaps.max(initial=0), after[-1] - (at[-1] if len(at) else 0)) >= LONG_SENTENCE:
-        more, last = [], 0
-        marks = set(at.tolist())
-        for p in after.tolist():
-            if p in marks:
-                last = p
-            elif p - last >= LONG_SENTENCE:
-                more.append(p)
-                last = p
+    last = ~blank
+    last[:-1] &= blank[1:]  # the last byte of each chunk
+    ends = np.flatnonzero(last)
+    stop = _STOPS[data[ends]]
+    feeds = np.searchsorted(ends, np.flatnonzero(data == 10))  # chunks before each line feed
+    stop[feeds[feeds > 0] - 1] = True
+    stop[-1] = True
+    bounds = (np.flatnonzero(stop) + 1).tolist()
+    parts, a = [], 0
+    for b in bounds:
+        parts.append(b"".join(ids[a:b]))
+        a = b
+    sizes = np.fromiter(map(len, parts), np.int64, len(parts)) >> 2
+    at, penalty = np.cumsum(sizes), np.full(len(parts), AT_SENTENCE)
+    if (long := np.flatnonzero(sizes >= LONG_SENTENCE)).size:
+        more = []
+        for k in long.tolist():
+            p = before = int(at[k] - sizes[k])
+            for x in ids[bounds[k - 1] if k else 0 : bounds[k]]:
+                p += len(x) >> 2
+                if p - before >= LONG_SENTENCE and p < at[k]:
+                    more.append(p)
+                    before = p
         both = np.concatenate([at, np.array(more, np.int64)])
-        penalty = np.repeat([AT_SENTENCE, AT_WORD], [len(at), len(more)])
         order = np.argsort(both, kind="stable")
-        at, penalty = both[order], penalty[order]
-    else:
-        penalty = np.full(len(at), AT_SENTENCE)
-    inner = (at > 0) & (at < after[-1])  # else the end id would stand alone behind the last sentence
-    return at[inner], penalty[inner]
+        at, penalty = both[order], np.repeat([AT_SENTENCE, AT_WORD], [len(at), len(more)])[order]
+    end = int(at[-1])
+    inner = at < end  # else the end id would stand alone behind the last sentence
+    inner[0] &= at[0] > 0
+    inner[1:] &= at[1:] > at[:-1]  # words without tokens
+    return b"".join(parts), at[inner], penalty[inner]
+
+
+def exact_steps(at: np.ndarray, length: int) -> tuple[list[int], list[int]]:
+    """Indices (j, i), ascending with j, of positions that are a power of two apart, at least SMALLEST and less than length."""
+    found = [_NONE], [_NONE]
+    size = SMALLEST
+    while size < length:
+        i = np.searchsorted(at, at - size)
+        j = np.flatnonzero(at[i] == at - size)
+        found[0].append(j)
+        found[1].append(i[j])
+        size *= 2
+    later, earlier = map(np.concatenate, found)
+    order = np.lexsort((earlier, later))
+    return later[order].tolist(), earlier[order].tolist()
 
 
 def best_cuts(at: list[int], penalty: list[int], length: int) -> list[int]:
     """Indices of the chosen cuts among positions `at` (ascending, the first 0, the last the end; gaps of at most `length`)."""
     n = len(at)
     cost, back, key = [0] * n, [0] * n, [0] * n
-    where = {p: k for k, p in enumerate(at)}
-    exact = [1 << k for k in range(SMALLEST.bit_length() - 1, length.bit_length()) if 1 << k < length][::-1]
+    later, earlier = exact_steps(np.array(at), length)
+    later.append(n)
+    step, at_step = 0, later[0]
     queue: deque[int] = deque([0])
+    left, pop = queue.popleft, queue.pop
     for j in range(1, n):
         p = at[j]
-        while at[queue[0]] < p - length:
-            queue.popleft()
         i = queue[0]
+        while at[i] < p - length:
+            left()
+            i = queue[0]
         best = key[i] + length - p
-        for size in exact:
-            if p - size in where:
-                k = where[p - size]
-                if cost[k] < best:
-                    best, i = cost[k], k
+        while at_step == j:
+            k = earlier[step]
+            if cost[k] < best:
+                best, i = cost[k], k
+            step += 1
+            at_step = later[step]
         best += penalty[j] + PRICE
         cost[j], back[j] = best, i
         key[j] = own = best + p
         while queue and key[queue[-1]] >= own:
-            queue.pop()
+            pop()
         queue.append(j)
     out = [n - 1]
     while out[-1]:
@@ -134,17 +156,16 @@ def pack_block(docs: list[tuple], first_sequence: int, length: int = LENGTH) ->
     return pieces
 
 
-def pack_stream(docs: Iterator[tuple[int | None, str]], vocabulary: str, first_sequence: int = 0, length: int = LENGTH, block_tokens: int = BLOCK_TOKENS) -> Iterator[list[tuple]]:
+def pack_stream(docs: Iterator[tuple[int | None, bytes]], vocabulary: str, first_sequence: int = 0, length: int = LENGTH, block_tokens: int = BLOCK_TOKENS) -> Iterator[list[tuple]]:
     """Pieces, block by block."""
     words = encoder(vocabulary)
     end = END_ID.to_bytes(4, "little")
     held, size, group = [], 0, []
 
     def encoded():
-        texts = [(x or "").encode() for _, x in group]
-        for (doc_id, _), text, chunks, ids in zip(group, texts, *words.chunk_ids(texts), strict=True):
-            inner, prices = cut_points(chunks, text, ids)
-            whole = b"".join(ids) + end
+        for (doc_id, text), ids in zip(group, words.chunk_ids([x for _, x in group]), strict=True):
+            whole, inner, prices = cut_points(text, ids)
+            whole += end
             if len(whole) > 4 * length:
                 inner, prices = fill_gaps(inner, prices, len(whole) // 4, length)
             yield doc_id, whole, inner, prices
@@ -181,11 +202,11 @@ def pack(docs: DataFrame, vocabulary: str, length: int = LENGTH, block_tokens: i
     sent = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches):
-        stream = (x for batch in batches for x in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True))
+        stream = (x for part in slices(batches, "text") for x in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True))
         for pieces in pack_stream(stream, sent.value, TaskContext.get().partitionId() << 32, length, block_tokens):
             for k in range(0, len(pieces), 10_000):
                 columns = zip(*pieces[k : k + 10_000], strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], [x.split()[0] for x in SCHEMA.split(", ")])
 
-    ordered = docs.select("doc_id", text_of(F.col("text")).alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of(F.col("text")).cast("binary").alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id")
     return ordered.mapInArrow(run, SCHEMA)

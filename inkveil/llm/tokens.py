@@ -18,7 +18,7 @@ from tokenizers import Tokenizer
 #: Appended to each document.
 END_ID = 1
 #: Chunks and parts that a worker remembers in one generation, and the bytes of the longest chunk it remembers.
-MAX_CACHED, MAX_CHUNK = 400_000, 64
+MAX_CACHED, MAX_CHUNK = 700_000, 64
 #: Texts whose unknown chunks are encoded together.
 GROUP = 256
 
@@ -66,19 +66,19 @@ class ChunkEncoder:
         self.four = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size(with_added_tokens=True))]
         self.chunks, self.parts = _Memory(), _Memory()
 
-    def chunk_ids(self, texts: list[bytes]) -> tuple[list[list[bytes]], list[list[bytes]]]:
-        """For each text its chunks, and the ids of each."""
+    def chunk_ids(self, texts: list[bytes]) -> list[list[bytes]]:
+        """The ids of each chunk of each text."""
         split = [x.split() for x in texts]
-        chunks = set(chain.from_iterable(split))
-        new = chunks.difference(self.chunks.young)
+        new = set(chain.from_iterable(split)).difference(self.chunks.young)
         if new:
             self._learn(self.chunks.absent(new))
-        out = [list(map(self.chunks.young.__getitem__, x)) for x in split]
+        find = self.chunks.young.__getitem__
+        out = [list(map(find, x)) for x in split]
         for c in new:
             if len(c) > MAX_CHUNK:
                 del self.chunks.young[c]
         self.chunks.age()
-        return split, out
+        return out
 
     def _learn(self, chunks: list[bytes]) -> None:
         cut = []
@@ -103,10 +103,10 @@ class ChunkEncoder:
                 del parts[x]
         self.parts.age()
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text and END_ID."""
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        """The ids of each text (in UTF-8) and END_ID."""
         end = END_ID.to_bytes(4, "little")
-        return [b"".join(x) + end for k in range(0, len(texts), GROUP) for x in self.chunk_ids([t.encode() for t in texts[k : k + GROUP]])[1]]
+        return [b"".join(x) + end for k in range(0, len(texts), GROUP) for x in self.chunk_ids(texts[k : k + GROUP])]
 
 
 def encoder(vocabulary: str) -> ChunkEncoder:
