@@ -8,8 +8,8 @@ Hadoop file system can hold the files and a lost executor leaves no half file):
     index I = zstandard data of: chunks (u64), documents (u64), chunk offsets (u64 each), ids of each chunk (u64 each),
               ids of each document (u64 each), doc_id of each (i64 each), whether that is null (u8 each)
 
-All numbers are little-endian. Ids are unsigned 32-bit. Files in the order of their names hold documents in
-ascending doc_id order, a null first.
+All numbers are little-endian. Ids are unsigned 32-bit. Files in the order of the numbers in their names hold
+documents in ascending doc_id order, a null first.
 
 Cases: a null or empty text is the end id alone; a very long text spans chunks; repeated rows and equal doc_ids
 are documents of their own, in any order among them; an empty table gives no documents. Further columns of the
@@ -29,13 +29,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from inkveil.llm.common import scratch_path, text_of, written
+from inkveil.llm.common import scratch_path, slices, text_of, written
 from inkveil.llm.tokens import encoder
 
 MAGIC = b"IVP1"
 #: Ids in a chunk.
 CHUNK_IDS = 1 << 16
 LEVEL = 3
+#: Bytes of text in a file on average; ids of equal doc_ids stay in one file.
+FILE_TEXT = 1 << 25
 
 
 def to_planes(ids: np.ndarray, bits: bool) -> list[np.ndarray]:
@@ -142,15 +144,15 @@ def write_ids(docs: DataFrame, vocabulary: str, path: str, chunk_ids: int = CHUN
     def encode(batches):
         def each():
             encode_texts = encoder(sent.value).encode
-            for batch in batches:
-                for k in range(0, batch.num_rows, 256):
-                    part = batch.slice(k, 256)
-                    yield from zip(part.column("doc_id").to_pylist(), encode_texts(part.column("text").to_pylist()), strict=True)
+            for part in slices(batches, "text"):
+                yield from zip(part.column("doc_id").to_pylist(), encode_texts(part.column("text").to_pylist()), strict=True)
 
         for made in file_frames(each(), chunk_ids, bits):
             yield pa.RecordBatch.from_arrays([pa.array([made], pa.binary())], ["frame"])
 
-    ordered = docs.select("doc_id", text_of(F.col("text")).alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of(F.col("text")).cast("binary").alias("text"))
+    size = texts.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
+    ordered = texts.repartitionByRange(-(-size // FILE_TEXT) or 1, "doc_id").sortWithinPartitions("doc_id")
     frames = ordered.mapInArrow(encode, "frame binary")
     frames.select(F.col("frame").cast("string").alias("value")).write.option("lineSep", "\n").option("compression", "none").option("maxRecordsPerFile", 0).text(path)
 
@@ -186,8 +188,10 @@ def digests(docs: DataFrame, vocabulary: str, **options) -> DataFrame:
     path = scratch_path(docs.sparkSession, "token-planes")
     write_ids(docs, vocabulary, path, **options)
     read = written(read_ids(docs.sparkSession, path).drop("ids", "place"), "token-digests")
-    files = read.groupBy("file").agg(F.sum("n_tokens").alias("n"))
+    # Files are numbered by their partitions; a number may have more digits than others.
+    number = F.regexp_extract("file", "part-([0-9]+)", 1).cast("long")
+    files = read.groupBy("file").agg(F.sum("n_tokens").alias("n")).withColumn("number", number)
     # One row for each file.
-    before = F.coalesce(F.sum("n").over(W.Window.orderBy("file").rowsBetween(W.Window.unboundedPreceding, -1)), F.lit(0))
+    before = F.coalesce(F.sum("n").over(W.Window.orderBy("number").rowsBetween(W.Window.unboundedPreceding, -1)), F.lit(0))
     starts = files.select("file", before.alias("before"))
     return read.join(starts, "file").select("doc_id", (F.col("before") + F.col("file_start")).alias("start"), "n_tokens", "ids_crc32", "file")
