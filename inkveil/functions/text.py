@@ -13,6 +13,8 @@ from inkveil.functions.fixed import OCR_CLASS, OCR_FROM, OCR_TO
 LEFT, RIGHT = r"(?<![\p{L}\p{N}])", r"(?![\p{L}\p{N}])"
 #: Marks that find_all() puts into texts; inputs lose them first.
 _START, _END = "\u0001", "\u0002"
+#: Letters outside ASCII that patterns without case take for one in it.
+_FOLDED = {"i": "ıİ", "k": "\u212a", "s": "ſ"}
 #: Letters with accents and what folding leaves of them.
 ACCENTS = ("àáâãäåèéêëìíîïòóôõöùúûüýÿñçÀÁÂÃÄÅÈÉÊËÌÍÎÏÒÓÔÕÖÙÚÛÜÝÑÇ", "aaaaaaeeeeiiiiooooouuuuyyncAAAAAAEEEEIIIIOOOOOUUUUYNC")
 
@@ -36,15 +38,22 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+def starting(letters: str) -> str:
+    """A lookahead for any of these letters in either case: put before a pattern that ignores case, it passes most places over at once."""
+    forms = {x for c in letters for x in (c.lower(), c.upper(), _FOLDED.get(c.lower(), ""))}
+    return f"(?=[{''.join(sorted(forms))}])"
+
+
 def find_all(text: Column, pattern: str) -> Column:
     """All matches as (start, end, s), those that overlap earlier ones too: the search goes on one character behind each match's start."""
-    marked = F.regexp_replace(F.regexp_replace(text, f"[{_START}{_END}]", " "), f"(?=({pattern}))", f"{_START}$1{_END}")
+    clean = F.replace(F.replace(text, F.lit(_START), F.lit(" ")), F.lit(_END), F.lit(" "))
+    marked = F.regexp_replace(clean, f"(?=({pattern}))", f"{_START}$1{_END}")
     none = F.array().cast("array<struct<start:int,end:int,s:string>>")
     found = lambda at, s: F.struct(at.alias("start"), (at + F.length(s)).alias("end"), s.alias("s"))
     after = lambda a, p, s: F.struct((a["at"] + F.length(p) - F.length(s) - 1).alias("at"), F.concat(a["found"], F.array(found(a["at"], s))).alias("found"))
     step = lambda a, p: let(F.substring_index(p, _END, 1), lambda s: after(a, p, s))
     walk = lambda parts: F.aggregate(F.slice(parts, 2, F.greatest(F.size(parts), F.lit(2))), F.struct(F.length(F.get(parts, F.lit(0))).alias("at"), none.alias("found")), step, lambda a: a["found"])
-    return let(F.split(marked, _START), walk)
+    return let(marked, lambda m: F.when(F.contains(m, F.lit(_START)), let(F.split(m, _START), walk)).when(m.isNotNull(), none))
 
 
 def newlines(s: Column) -> Column:

@@ -29,23 +29,49 @@ ORD = 1 << 20
 #: Partitions for each core that pages of fewer files are spread over.
 SPREAD = 4
 
+BORN = "struct<y:int,m:int,d:int>"
 HITS = "array<struct<cat:string,start:int,end:int,ord:int,initials:string>>"
 _HIT = pa.struct([("cat", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("ord", pa.int32()), ("initials", pa.string())])
 _IN_PYTHON = {"names", "other_names", "addresses", "other_addresses"}
 
 
-def with_profiles(pages: DataFrame, subjects: DataFrame, on: str | None) -> DataFrame:
-    """pages with the columns of PROFILE as one struct `_who`; null where a page has no subject."""
+def with_profiles(pages: DataFrame, subjects: DataFrame, keys: tuple[str, ...], on: str | None, as_of_year: int = AS_OF_YEAR) -> DataFrame:
+    """pages with the columns of PROFILE and `born`, the birth date read, as one struct `_who`; null where a page has no subject.
+
+    Profiles too large to broadcast meet the pages in one shuffle, over more partitions than cores; a subject's pages lie in SPREAD of them at most."""
     clean = lambda c: F.filter(F.transform(F.coalesce(c, F.array().cast("array<string>")), lambda x: F.trim(x)), lambda x: x != "")
     kinds = dict(subjects.dtypes)
     each = [(clean(F.col(c)) if kinds[c].startswith("array") else F.trim(F.coalesce(c, F.lit("")))).alias(c) for c in PROFILE]
+    each.append(dates.entered_date(F.trim(F.coalesce("dob", F.lit(""))), as_of_year).cast(BORN).alias("born"))
     if on:
-        return pages.join(subjects.select(F.col("subject_id").alias("_subject"), F.struct(*each).alias("_who")), pages[on] == F.col("_subject"), "left").drop("_subject")
+        own = subjects.select(F.col("subject_id").alias("_subject"), F.struct(*each).alias("_who"))
+        if pages.isStreaming or not _too_large(own):
+            pages = spread(pages, keys, on)
+            return pages.join(own, pages[on] == F.col("_subject"), "left").drop("_subject")
+        spark = pages.sparkSession
+        n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), SPREAD * spark.sparkContext.defaultParallelism)
+        places = F.explode(F.array(*[F.lit(k).cast("long") for k in range(SPREAD)])).alias("_place_of")
+        own = own.select("*", places).repartition(n, "_subject", "_place_of")
+        pages = pages.withColumn("_place", _place(keys)).repartition(n, on, "_place")
+        return pages.join(own, (pages[on] == F.col("_subject")) & (F.col("_place") == F.col("_place_of")), "left").drop("_subject", "_place", "_place_of")
+    pages = spread(pages, keys, on)
     own = subjects.select(*each).limit(2).collect()
     if len(own) != 1:
         raise ValueError(f"all pages have one subject unless `on` tells theirs; there are {len(own) or 'none'}{' or more' if own else ''}")
-    values = [F.lit(list(v)).cast("array<string>") if isinstance(v, list) else F.lit(v) for v in own[0]]
-    return pages.withColumn("_who", F.struct(*[v.alias(c) for v, c in zip(values, PROFILE, strict=True)]))
+    values = [F.lit(list(v)).cast("array<string>") if isinstance(v, list) else F.lit(v) for v in own[0][:-1]]
+    day = own[0]["born"]
+    born = F.struct(*[F.lit(day[c]).cast("int").alias(c) for c in ("y", "m", "d")]) if day else F.lit(None)
+    return pages.withColumn("_who", F.struct(*[v.alias(c) for v, c in zip(values, PROFILE, strict=True)], born.cast(BORN).alias("born")))
+
+
+def _too_large(table: DataFrame) -> bool:
+    """Is a table larger, by Spark's estimate, than what it broadcasts?"""
+    most = table.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    return int(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) > most
+
+
+def _place(keys: tuple[str, ...]) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(SPREAD))
 
 
 def spread(pages: DataFrame, keys: tuple[str, ...], on: str | None) -> DataFrame:
@@ -53,8 +79,7 @@ def spread(pages: DataFrame, keys: tuple[str, ...], on: str | None) -> DataFrame
     cores = pages.sparkSession.sparkContext.defaultParallelism
     if pages.isStreaming or len(pages.inputFiles()) >= cores:
         return pages
-    place = F.pmod(F.xxhash64(*keys), F.lit(SPREAD))
-    return pages.repartition(SPREAD * cores, *([F.col(on), place] if on else map(F.col, keys)))
+    return pages.repartition(SPREAD * cores, *([F.col(on), _place(keys)] if on else map(F.col, keys)))
 
 
 def _fuzzy(rows: DataFrame, only: tuple[str, ...], first_names: frozenset, everyday: frozenset) -> DataFrame:
@@ -117,7 +142,7 @@ def detect(
     """
     spark = pages.sparkSession
     wanted = dict.fromkeys([*keys, *([on] if on else []), "text"])
-    rows = with_profiles(spread(pages.select(*wanted), keys, on), subjects, on).select(*dict.fromkeys([*keys, "text"]), "_who")
+    rows = with_profiles(pages.select(*wanted), subjects, keys, on, as_of_year).select(*dict.fromkeys([*keys, "text"]), "_who")
     in_python = _IN_PYTHON.intersection(only)
     if in_python:
         rows = _fuzzy(rows, only, first_names, everyday)
@@ -134,7 +159,7 @@ def detect(
         "dl": lambda: _numbered(F.concat(numbers.labelled(text, "dl"), numbers.bare(text, dated, "dl")), "dl", "dl"),
         "ncic": lambda: _numbered(F.concat(numbers.labelled(text, "ncic"), numbers.bare(text, dated, "ncic")), "ncic", "ncic"),
         "account": lambda: _numbered(numbers.labelled(text, "account"), "account", "account"),
-        "dob": lambda: _numbered(dates.birth_dates(text, F.col("_dates"), dates.entered_date(who["dob"], as_of_year)), "dob", "dob"),
+        "dob": lambda: _numbered(dates.birth_dates(text, F.col("_dates"), who["born"]), "dob", "dob"),
         "phones": lambda: _numbered(numbers.phones(text, who["phones"]), "phones", "phone"),
         "other_phones": lambda: _numbered(numbers.phones(text, who["other_phones"]), "other_phones", "other"),
     }

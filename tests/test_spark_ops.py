@@ -13,10 +13,11 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from inkveil import queries as engine
+from inkveil.functions import dates, numbers
 from inkveil.functions import text as T
 from inkveil.functions.names import name_model
 from inkveil.functions.words import Words
-from inkveil.operators import boxes, gate, report, spans
+from inkveil.operators import boxes, detect, gate, report, spans
 from inkveil.plans.redaction import redact
 from inkveil.sources import pages
 from inkveil.streaming.stream import Progress, read_pages, redact_stream
@@ -249,3 +250,32 @@ def test_ranges_of_very_many_pages(spark):
             want.append(last := [p, p])
     assert got == ", ".join(str(a) if a == b else f"{a}–{b}" for a, b in want) and any(a < b for a, b in want)
     assert spark.sql("SELECT array() AS p").select(report.page_ranges(F.col("p").cast("array<int>"))).first()[0] == ""
+
+
+def test_large_profiles_meet_pages_in_one_shuffle(spark):
+    """Over more partitions than cores, and with the hits that broadcast profiles give; pages without a subject stay."""
+    own = pages.records(spark, SF).limit(400).withColumn("subject_id", F.when(F.col("record_id") % 9 != 0, F.col("subject_id"))).cache()
+    rows = lambda df: sorted(map(repr, df.collect()))
+    want = rows(detect.detect(own, pages.subjects(spark, SF), ("record_id",), "subject_id"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = detect.detect(own, pages.subjects(spark, SF), ("record_id",), "subject_id")
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert len(re.findall(r"Exchange hashpartitioning", plan)) == 2
+        assert rows(found) == want and len(want) == 400
+        joined = detect.with_profiles(own, pages.subjects(spark, SF), ("record_id",), "subject_id")
+        assert joined.rdd.getNumPartitions() == detect.SPREAD * spark.sparkContext.defaultParallelism
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_lookaheads_pass_over_no_label(spark):
+    """Letters outside ASCII that patterns without case take for one in it begin labels and months too."""
+    texts = ["ſSN 1", "\u017fsn: 123-45-6789", "ssn SSN", "ınsured id 12345", "İNSURED ID 12345", "insured id", "Born on", "MRN and mrn", "ſept 4, 1980", "x dob Date of Birth", "nothing"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for p in (numbers.SSN_LABEL, dates.BIRTH_LABEL, dates.MONTH_FIRST, *(p for p, _ in numbers.LABELS.values())):
+        plain = re.sub(r"^\(\?=\[[^\]]*\]\)", "", p)
+        assert plain != p
+        both = df.select("t", T.find_all(F.col("t"), p).alias("a"), T.find_all(F.col("t"), plain).alias("b")).collect()
+        assert [r.a for r in both] == [r.b for r in both]
