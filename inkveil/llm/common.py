@@ -19,6 +19,16 @@ LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvw
 SPACES = b" \t\n\x0b\x0c\r"
 
 
+#: What this process's operators remember between tasks.
+REMEMBERED: list[dict] = []
+
+
+def forget() -> None:
+    """Gives back what operators of earlier stages remember: workers outlive a stage."""
+    for own in REMEMBERED:
+        own.clear()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

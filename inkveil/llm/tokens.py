@@ -15,10 +15,12 @@ from itertools import chain
 
 from tokenizers import Tokenizer
 
+from inkveil.llm.common import REMEMBERED
+
 #: Appended to each document.
 END_ID = 1
-#: Chunks and parts that a worker remembers in one generation, and the bytes of the longest chunk it remembers.
-MAX_CACHED, MAX_CHUNK = 700_000, 64
+#: Chunks and parts that a worker remembers in one generation, and the bytes of the longest chunk it remembers: about 200 MB of short words in all.
+MAX_CACHED, MAX_CHUNK = 400_000, 64
 #: Texts whose unknown chunks are encoded together.
 GROUP = 256
 
@@ -31,6 +33,7 @@ _LETTERS = re.compile(r"[a-zß-öø-ÿ]+")
 _BYTES = {b: 256 + k for k, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255))}
 
 _ENCODERS: dict[int, ChunkEncoder] = {}
+REMEMBERED.append(_ENCODERS)
 
 
 class _Memory:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkveil.llm.common import remove_written, slices, text_of, written
+from inkveil.llm.common import forget, remove_written, slices, text_of, written
 
 MAX_TOXIC, MAX_CLEAN = 3000, 6000
 THRESHOLD = 0.3
@@ -242,6 +242,7 @@ def sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
     some = [labels.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for y, n in ((1, MAX_TOXIC), (0, MAX_CLEAN))]
 
     def shorten(batches):
+        forget()
         for batch in slices(batches, "text"):
             words = [b" ".join(sorted(words_of(x))) for x in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), batch.column("toxic")], ["words", "toxic"])
@@ -261,6 +262,7 @@ def score(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = ("doc_id",
     rows = docs.select(*keep, *[c.alias(n) for n, c in extra.items()], text_of(F.col("text")).alias("_text"))
 
     def run(batches):
+        forget()
         voters, weights = sent.value
         for batch in slices(batches, "_text"):
             found = [score_of(voters, weights, words_of(x)) for x in batch.column(batch.num_columns - 1).to_pylist()]

@@ -4,6 +4,7 @@ import base64
 import hashlib
 import math
 import re
+import sys
 import zlib
 from collections import Counter, defaultdict
 
@@ -16,7 +17,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from inkveil.llm import bloom_lookup, mixing, near_dup, packing, quality_rules, suffix_tree, token_planes, toxicity, url_filter, warc
-from inkveil.llm.common import LOWER
+from inkveil.llm.common import LOWER, forget
 from inkveil.llm.tokens import encoder, vocabulary_file
 
 VOCABULARY = vocabulary_file("word_bpe_49k.json")
@@ -57,6 +58,20 @@ def test_chunks_encode_as_whole_texts(texts):
     assert encoder(VOCABULARY).encode([t.encode() for t in texts]) == [ids_of(t) for t in texts]
 
 
+def test_encoders_remember_within_bounds():
+    """By all they hold; a stage that needs no encoder gives it back."""
+    words, sizes = encoder(VOCABULARY), []
+    for k in range(0, 1_100_000, 20_000):
+        words.encode([" ".join(f"q{x:x}w" for x in range(k + a, k + a + 1000)).encode() for a in range(0, 20_000, 1000)])
+        held = [m for both in (words.chunks, words.parts) for m in (both.young, both.old)]
+        sizes.append(sum(map(len, held)))
+    assert max(sizes) <= 4 * 425_000
+    size = sum(sys.getsizeof(m) + sum(map(sys.getsizeof, m)) + sum(map(sys.getsizeof, m.values())) for m in held)
+    assert size < 300e6, size
+    forget()
+    assert encoder(VOCABULARY) is not words
+
+
 @pytest.mark.parametrize("bits", [False, True])
 @given(ids=st.lists(st.integers(0, 2**32 - 1), max_size=300))
 @settings(max_examples=40, deadline=None)
