@@ -37,7 +37,7 @@ MAGIC = b"IVP1"
 CHUNK_IDS = 1 << 16
 LEVEL = 3
 #: Bytes of text in a file on average; ids of equal doc_ids stay in one file.
-FILE_TEXT = 1 << 25
+FILE_TEXT = 1 << 24
 
 
 def to_planes(ids: np.ndarray, bits: bool) -> list[np.ndarray]:
