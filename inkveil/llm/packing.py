@@ -17,6 +17,7 @@ table gives no pieces. Further columns are ignored. A word of more tokens than a
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_left
 from collections import deque
 from collections.abc import Iterator
 
@@ -26,8 +27,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkveil.llm.common import SPACES, slices, text_of
-from inkveil.llm.tokens import END_ID, GROUP, encoder
+from inkveil.llm.common import slices, text_of
+from inkveil.llm.tokens import END_ID, encoder, grouped, up_to_texts
 
 LENGTH = 2048
 #: Tokens of padding that a sequence more, a cut at a sentence's or line's end, one at a word's end and one in a word are worth.
@@ -40,48 +41,38 @@ BLOCK_TOKENS = 1 << 20
 
 _NONE = np.zeros(0, np.int64)
 _STOPS = np.isin(np.arange(256), list(b".!?"))
-_BLANK = np.isin(np.arange(256), list(SPACES))
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, padding long"
 
 
-def cut_points(text: bytes, ids: list[bytes]) -> tuple[bytes, np.ndarray, np.ndarray]:
-    """All ids, from those of each chunk; positions (in tokens, without 0 and the end) where the document can be cut, and the penalties there."""
-    if not ids:
-        return b"", _NONE, _NONE
-    data = np.frombuffer(text, np.uint8)
-    blank = _BLANK[data]
-    last = ~blank
-    last[:-1] &= blank[1:]  # the last byte of each chunk
-    ends = np.flatnonzero(last)
-    stop = _STOPS[data[ends]]
-    feeds = np.searchsorted(ends, np.flatnonzero(data == 10))  # chunks before each line feed
+def cut_points(data: np.ndarray, last: np.ndarray, upto: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions (in tokens, without the texts' bounds) where texts, a line feed behind each, can be cut, and the penalties there.
+
+    last has the place of the last byte of each chunk, upto the tokens up to its end, ends the tokens up to each text's end."""
+    if not len(last):
+        return _NONE, _NONE
+    stop = _STOPS[data[last]]
+    feeds = np.searchsorted(last, np.flatnonzero(data == 10))  # chunks before each line feed
     stop[feeds[feeds > 0] - 1] = True
-    stop[-1] = True
-    bounds = (np.flatnonzero(stop) + 1).tolist()
-    parts, a = [], 0
-    for b in bounds:
-        parts.append(b"".join(ids[a:b]))
-        a = b
-    sizes = np.fromiter(map(len, parts), np.int64, len(parts)) >> 2
-    at, penalty = np.cumsum(sizes), np.full(len(parts), AT_SENTENCE)
-    if (long := np.flatnonzero(sizes >= LONG_SENTENCE)).size:
+    bounds = np.flatnonzero(stop)
+    at = upto[bounds]
+    before = np.concatenate([[0], at[:-1]])
+    penalty = np.full(len(at), AT_SENTENCE)
+    if (long := np.flatnonzero(at - before >= LONG_SENTENCE)).size:
         more = []
         for k in long.tolist():
-            p = before = int(at[k] - sizes[k])
-            for x in ids[bounds[k - 1] if k else 0 : bounds[k]]:
-                p += len(x) >> 2
-                if p - before >= LONG_SENTENCE and p < at[k]:
-                    more.append(p)
-                    before = p
+            words = upto[bounds[k - 1] + 1 if k else 0 : bounds[k]].tolist()
+            p, end, j = int(before[k]), int(at[k]), 0
+            while (j := bisect_left(words, p + LONG_SENTENCE, j)) < len(words) and words[j] < end:
+                p = words[j]
+                more.append(p)
         both = np.concatenate([at, np.array(more, np.int64)])
         order = np.argsort(both, kind="stable")
         at, penalty = both[order], np.repeat([AT_SENTENCE, AT_WORD], [len(at), len(more)])[order]
-    end = int(at[-1])
-    inner = at < end  # else the end id would stand alone behind the last sentence
-    inner[0] &= at[0] > 0
-    inner[1:] &= at[1:] > at[:-1]  # words without tokens
-    return b"".join(parts), at[inner], penalty[inner]
+        before = np.concatenate([[0], at[:-1]])
+    # Not after words without tokens, nor where the end id would stand alone behind the last sentence.
+    inner = (at > before) & (ends[np.minimum(np.searchsorted(ends, at), len(ends) - 1)] != at)
+    return at[inner], penalty[inner]
 
 
 def exact_steps(at: np.ndarray, length: int) -> tuple[list[int], list[int]]:
@@ -160,28 +151,24 @@ def pack_stream(docs: Iterator[tuple[int | None, bytes]], vocabulary: str, first
     """Pieces, block by block."""
     words = encoder(vocabulary)
     end = END_ID.to_bytes(4, "little")
-    held, size, group = [], 0, []
-
-    def encoded():
-        for (doc_id, text), ids in zip(group, words.chunk_ids([x for _, x in group]), strict=True):
-            whole, inner, prices = cut_points(text, ids)
-            whole += end
-            if len(whole) > 4 * length:
-                inner, prices = fill_gaps(inner, prices, len(whole) // 4, length)
-            yield doc_id, whole, inner, prices
-
-    for doc in docs:
-        group.append(doc)
-        if len(group) < GROUP:
-            continue
-        for found in encoded():
-            held.append(found)
-            size += len(found[1]) // 4
+    held, size = [], 0
+    for group in grouped(docs, lambda doc: len(doc[1])):
+        texts = [text for _, text in group]
+        joined = b"\n".join([*texts, b""])
+        ids, last, upto = words.chunk_ids(joined)
+        whole, ends = ids.tobytes(), up_to_texts(texts, last, upto)
+        cuts, prices = cut_points(np.frombuffer(joined, np.uint8), last, upto, ends)
+        a = first = 0
+        for (doc_id, _), b, to in zip(group, ends.tolist(), np.searchsorted(cuts, ends).tolist(), strict=True):
+            own, inner, penalty = whole[4 * a : 4 * b] + end, cuts[first:to] - a, prices[first:to]
+            if len(own) > 4 * length:
+                inner, penalty = fill_gaps(inner, penalty, len(own) // 4, length)
+            held.append((doc_id, own, inner, penalty))
+            size += len(own) // 4
             if size >= block_tokens:
                 yield (pieces := pack_block(held, first_sequence, length))
                 first_sequence, held, size = pieces[-1][5] + 1, [], 0
-        group = []
-    held += encoded()
+            a, first = b, to
     if held:
         yield pack_block(held, first_sequence, length)
 

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from inkveil.llm import bloom_lookup, mixing, near_dup, packing, quality_rules, suffix_tree, token_planes, toxicity, url_filter, warc
+from inkveil.llm import bloom_lookup, mixing, near_dup, packing, quality_rules, suffix_tree, token_planes, tokens, toxicity, url_filter, warc
 from inkveil.llm.common import LOWER, forget
 from inkveil.llm.tokens import encoder, vocabulary_file
 
@@ -72,6 +72,57 @@ def test_encoders_remember_within_bounds():
     assert encoder(VOCABULARY) is not words
 
 
+def test_words_are_remembered_once():
+    """Not once more for each case of their letters and marks behind them."""
+    forget()
+    words = encoder(VOCABULARY)
+    assert words.encode(["Straße straße, STRASSE. Straße!! Übung (übung) x×y".encode()]) == [ids_of("Straße straße, STRASSE. Straße!! Übung (übung) x×y")]
+    assert {x.decode() for m in (words.parts, words.chunks) for x in m.young} == {"straße", "strasse", "übung", ",", ".", "!!", "(übung)", "x×y"}
+
+
+LATIN = st.text("aZéÉßÿ×÷Ø.,'!7~\x00\x7f\u0301日 \t\n\x85\xa0", max_size=40)
+
+
+@given(st.lists(LATIN, max_size=6), st.integers(1, 40))
+@settings(max_examples=60, deadline=None)
+def test_pieces_of_texts_encode_as_whole_texts(texts, most):
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(tokens, "GROUP_BYTES", most)
+        assert encoder(VOCABULARY).encode([t.encode() for t in texts]) == [ids_of(t) for t in texts]
+
+
+def plain_cuts(text, words):
+    """Where a text can be cut, word by word."""
+    at, p, begin = [], 0, 0
+    chunks = list(re.finditer(rb"[^\x20\x09-\x0D]+", text))
+    for k, m in enumerate(chunks):
+        gap = text[m.end() : chunks[k + 1].start()] if k + 1 < len(chunks) else b"\n"
+        p += len(words.encode([m[0]])[0]) // 4 - 1
+        at.append((p, packing.AT_SENTENCE if m[0][-1:] in b".!?" or b"\n" in gap else packing.AT_WORD))
+    out = {}
+    for k, (p, price) in enumerate(at):
+        sentence_end = next((q for q, x in at[k:] if x == packing.AT_SENTENCE), None)
+        if price == packing.AT_SENTENCE:
+            out.setdefault(p, price)
+            begin = p
+        elif p - begin >= packing.LONG_SENTENCE and p < sentence_end:
+            out.setdefault(p, price)
+            begin = p
+    return [(p, x) for p, x in out.items() if 0 < p < at[-1][0]]
+
+
+@given(st.lists(st.lists(st.sampled_from(["a ", "word, ", "end. ", "line\n", "\n", "\x85 ", "7 ", "no " * 100, "way\t" * 230]), max_size=12).map("".join), min_size=1, max_size=5))
+@settings(max_examples=60, deadline=None)
+def test_cuts_of_texts_together(texts):
+    words, texts = encoder(VOCABULARY), [t.encode() for t in texts]
+    joined = b"\n".join([*texts, b""])
+    _, last, upto = words.chunk_ids(joined)
+    ends = tokens.up_to_texts(texts, last, upto)
+    at, penalty = packing.cut_points(np.frombuffer(joined, np.uint8), last, upto, ends)
+    want = [(p + a, x) for t, a in zip(texts, [0, *ends.tolist()]) for p, x in plain_cuts(t, words)]
+    assert list(zip(at.tolist(), penalty.tolist())) == want
+
+
 @pytest.mark.parametrize("bits", [False, True])
 @given(ids=st.lists(st.integers(0, 2**32 - 1), max_size=300))
 @settings(max_examples=40, deadline=None)
