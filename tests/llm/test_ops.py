@@ -80,6 +80,19 @@ def test_words_are_remembered_once():
     assert {x.decode() for m in (words.parts, words.chunks) for x in m.young} == {"straße", "strasse", "übung", ",", ".", "!!", "(übung)", "x×y"}
 
 
+def test_words_are_looked_up_once_for_a_group(monkeypatch):
+    """What is done word by word hangs on distinct words, not on all words of the texts."""
+    words, asked = encoder(VOCABULARY), []
+    plain = words._values
+    monkeypatch.setattr(words, "_values", lambda keys: asked.extend(keys) or plain(keys))
+    texts = ["Rain, rain. Sun! " * 500, "sun rain, " * 700, ""]
+    rows = list(zip([None, 4, 9], words.encode([t.encode() for t in texts])))
+    assert [ids for _, ids in rows] == [ids_of(t) for t in texts]
+    assert sorted(asked) == [b"!", b",", b".", b"rain", b"sun"]
+    data = b"".join(f + b"\n" for f in token_planes.file_frames(iter(rows), 512))
+    assert list(token_planes.read_file(data)) == rows
+
+
 LATIN = st.text("aZéÉßÿ×÷Ø.,'!7~\x00\x7f\u0301日 \t\n\x85\xa0", max_size=40)
 
 
