@@ -1,23 +1,21 @@
 """All detectors over pages, each page with the profile of its subject.
 
-Names and addresses, whose words match under damage, are found in Arrow batches; all else are column expressions.
+All are found in Arrow batches: names and addresses by a page's words, which match under damage, and all else by its text.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from weakref import WeakKeyDictionary
-
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkveil.functions import dates, fixed, numbers
+from inkveil.functions import dates, fixed
 from inkveil.functions.addresses import address_models
 from inkveil.functions.arrow import sliced
 from inkveil.functions.names import name_model
-from inkveil.functions.text import page_text
+from inkveil.functions.scan import Page
 from inkveil.functions.words import Words
+from inkveil.operators import spans
 
 PROFILE = ("full_name", "variants", "initials", "dob", "addresses", "phones", "other_names", "other_addresses", "other_phones")
 #: The order of detectors decides ties between equal spans.
@@ -31,8 +29,12 @@ SPREAD = 4
 
 BORN = "struct<y:int,m:int,d:int>"
 HITS = "array<struct<cat:string,start:int,end:int,ord:int,initials:string>>"
+MERGED = "array<struct<cat:string,start:int,end:int,initials:string>>"
+_MERGED = pa.struct([("cat", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("initials", pa.string())])
 _HIT = pa.struct([("cat", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("ord", pa.int32()), ("initials", pa.string())])
-_IN_PYTHON = {"names", "other_names", "addresses", "other_addresses"}
+#: Detectors that read a page's words; the others read its text.
+_IN_WORDS = frozenset({"names", "other_names", "addresses", "other_addresses"})
+_ORDER = {name: n for n, name in enumerate(DETECTORS)}
 
 
 def with_profiles(pages: DataFrame, subjects: DataFrame, keys: tuple[str, ...], on: str | None, as_of_year: int = AS_OF_YEAR) -> DataFrame:
@@ -82,86 +84,93 @@ def spread(pages: DataFrame, keys: tuple[str, ...], on: str | None) -> DataFrame
     return pages.repartition(SPREAD * cores, *([F.col(on), _place(keys)] if on else map(F.col, keys)))
 
 
-def _fuzzy(rows: DataFrame, only: tuple[str, ...], first_names: frozenset, everyday: frozenset) -> DataFrame:
-    """rows with hits of names and addresses, and close."""
-    steps = [(n, name) for n, name in enumerate(DETECTORS) if name in only and name in _IN_PYTHON]
-    kept = [c for c in rows.columns if c != "_who"]
+def _profiles(who: pa.StructArray) -> list[tuple | None]:
+    """Each page's profile as the values of PROFILE and the birth date's year, month and day; None where it has none."""
+    own = dict(zip(who.type.names, who.flatten(), strict=True))
+    born = dict(zip(own["born"].type.names, own["born"].flatten(), strict=True))
+    rows = zip(*(c.to_pylist() for c in (*(own[c] for c in PROFILE), *(born[c] for c in ("y", "m", "d")))), strict=True)
+    return [row if known else None for row, known in zip(rows, who.is_valid().to_pylist(), strict=True)]
+
+
+def _page_hits(text: str, who: tuple | None, only: frozenset, first_names: frozenset, everyday: frozenset) -> tuple[list[tuple], list[str]]:
+    """(category, places, detector's number, initials) of the detectors that find any, and the words in names that match but not exactly."""
+    full_name, variants, initials, _, addresses, phones, other_names, other_addresses, other_phones, *born = who or ("", (), "", "", (), (), (), (), (), None, None, None)
+    found, close = [], []
+
+    def add(name: str, cat: str, places: list[tuple[int, int]], initials: str | None = None) -> None:
+        if places:
+            found.append((cat, places, _ORDER[name], initials))
+
+    words = Words(text) if who and not _IN_WORDS.isdisjoint(only) else None
+    if words and "names" in only:
+        places, close = name_model(tuple(x for x in (full_name, *variants) if x), first_names, everyday).find(words)
+        add("names", "name", places, initials.upper())
+    if words and "other_names" in only and other_names:
+        add("other_names", "other", name_model(tuple(other_names), first_names, everyday).find(words)[0])
+    for name, cat, entries in (("addresses", "address", addresses), ("other_addresses", "other", other_addresses)) if words else ():
+        if name in only and entries:
+            add(name, cat, [s for model in address_models(tuple(entries)) for s in model.find(words)])
+    if only <= _IN_WORDS:
+        return found, close
+    page = Page(text)
+    if "ssn" in only:
+        add("ssn", "ssn", page.ssn())
+    for name in ("dl", "ncic"):
+        if name in only:
+            add(name, name, page.labelled(name) + page.bare(name))
+    if "account" in only:
+        add("account", "account", page.labelled("account"))
+    if "dob" in only:
+        add("dob", "dob", page.births(None if None in born else tuple(born)))
+    for name, cat, entries in (("phones", "phone", phones), ("other_phones", "other", other_phones)):
+        if name in only and entries:
+            add(name, cat, page.phones(entries))
+    return found, close
+
+
+def _listed(kind: pa.StructType, until: list[int], values: list[tuple]) -> pa.ListArray:
+    """Lists of structs, each up to its place in all values."""
+    columns = [pa.array(c, f.type) for c, f in zip(zip(*values, strict=True) if values else [()] * kind.num_fields, kind, strict=True)]
+    return pa.ListArray.from_arrays(pa.array(until, pa.int32()), pa.StructArray.from_arrays(columns, fields=list(kind)))
+
+
+def _found(rows: DataFrame, only: tuple[str, ...], first_names: frozenset, everyday: frozenset, rewrite: bool) -> DataFrame:
+    """rows with hits and close and, to rewrite, merged and redacted, without profiles."""
+    kept, wanted = [c for c in rows.columns if c != "_who"], frozenset(only)
 
     def run(batches):
         for batch in sliced(batches, "text"):
-            who = batch.column("_who").to_pylist()
-            hits, close = [], []
-            for text, p in zip(batch.column("text").to_pylist(), who, strict=True):
-                found, forms = [], []
-                words = Words((text or "") + "\n") if p else None
-                for n, name in steps if p else ():
-                    if name in ("names", "other_names"):
-                        own = name == "names"
-                        entries = tuple(x for x in (p["full_name"], *p["variants"]) if x) if own else tuple(p["other_names"])
-                        spans, inexact = name_model(entries, first_names, everyday).find(words)
-                        cat, initials = ("name", p["initials"].upper()) if own else ("other", None)
-                        forms += inexact if own else []
-                    else:
-                        spans = [s for model in address_models(tuple(p[name])) for s in model.find(words)]
-                        cat, initials = ("address" if name == "addresses" else "other"), None
-                    found += [{"cat": cat, "start": a, "end": b, "ord": n * ORD + k, "initials": initials} for k, (a, b) in enumerate(spans)]
-                hits.append(found)
+            hits, merged, close, texts, until, merged_until = [], [], [], [], [0], [0]
+            for text, who in zip(batch.column("text").to_pylist(), _profiles(batch.column("_who")), strict=True):
+                found, forms = _page_hits((text or "") + "\n", who, wanted, first_names, everyday)
+                own = [(cat, a, b, k, initials) for cat, places, n, initials in found for k, (a, b) in enumerate(places, n * ORD) if b > a]
+                hits += own
+                until.append(len(hits))
                 close.append(forms)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in [*kept, "_who"]), pa.array(hits, pa.list_(_HIT)), pa.array(close, pa.list_(pa.string()))], [*kept, "_who", "_fuzzy", "close"])
-
-    own = rows.select(*kept, "_who")
-    schema = ", ".join(f"`{n}` {t}" for n, t in own.dtypes)
-    return own.mapInArrow(run, f"{schema}, _fuzzy {HITS}, close array<string>")
-
-
-#: Expressions that were made in a session: making one takes hundreds of calls to the JVM, and they hang on column names alone.
-_MADE: WeakKeyDictionary = WeakKeyDictionary()
-
-
-def _made(spark: SparkSession, key: tuple, make: Callable[[], Column]) -> Column:
-    own = _MADE.setdefault(spark.sparkContext, {})
-    if key not in own:
-        own[key] = make()
-    return own[key]
-
+                if rewrite:
+                    whole = spans.merged_hits(own)
+                    merged += whole
+                    merged_until.append(len(merged))
+                    texts.append(spans.redacted_text(text or "", whole))
+            made = {"hits": _listed(_HIT, until, hits), "close": pa.array(close, pa.list_(pa.string()))}
+            if rewrite:
+                made |= {"merged": _listed(_MERGED, merged_until, merged), "redacted": pa.array(texts, pa.string())}
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *made.values()], [*kept, *made])
 
-def _numbered(spans: Column, detector: str, cat: str) -> Column:
-    first = DETECTORS.index(detector) * ORD
-    hit = lambda s, k: F.struct(F.lit(cat).alias("cat"), s["start"].alias("start"), s["end"].alias("end"), (k + first).alias("ord"), F.lit(None).cast("string").alias("initials"))
-    return F.transform(spans, hit).cast(HITS)
+    schema = ", ".join(f"`{n}` {t}" for n, t in rows.select(*kept).dtypes)
+    return rows.select(*kept, "_who").mapInArrow(run, f"{schema}, hits {HITS}, close array<string>{f', merged {MERGED}, redacted string' if rewrite else ''}")
 
 
 def detect(
     pages: DataFrame, subjects: DataFrame, keys: tuple[str, ...], on: str | None = None, only: tuple[str, ...] = DETECTORS, as_of_year: int = AS_OF_YEAR,
-    first_names: frozenset = fixed.FIRST_NAMES, everyday: frozenset = fixed.EVERYDAY,
+    first_names: frozenset = fixed.FIRST_NAMES, everyday: frozenset = fixed.EVERYDAY, rewrite: bool = False,
 ) -> DataFrame:
     """keys, text, hits (an array of HIT) and close (an array of words) for each page.
 
+    rewrite: with merged (spans.merged() of the hits) and redacted (spans.redacted() of the text) too.
     on: the column by which a page finds its subject; None: subjects has one row, for all pages. One pass over the
     pages; the profiles come along by the join, which Spark broadcasts if they are few.
     """
-    spark = pages.sparkSession
-    wanted = dict.fromkeys([*keys, *([on] if on else []), "text"])
-    rows = with_profiles(pages.select(*wanted), subjects, keys, on, as_of_year).select(*dict.fromkeys([*keys, "text"]), "_who")
-    in_python = _IN_PYTHON.intersection(only)
-    if in_python:
-        rows = _fuzzy(rows, only, first_names, everyday)
-    else:
-        rows = rows.withColumns({"_fuzzy": F.array().cast(HITS), "close": F.array().cast("array<string>")})
-    text, dated = F.col("_page"), F.col("_dated")
-    rows = rows.withColumn("_page", page_text(F.col("text")))
-    if {"ssn", "dl", "ncic", "dob"}.intersection(only):
-        rows = rows.withColumn("_dates", _made(spark, ("dates",), lambda: dates.dates(text)))
-        rows = rows.withColumn("_dated", _made(spark, ("dated",), lambda: dates.date_spans(text, F.col("_dates"))))
-    who = F.col("_who")
-    steps = {
-        "ssn": lambda: _numbered(numbers.social_security(text, dated), "ssn", "ssn"),
-        "dl": lambda: _numbered(F.concat(numbers.labelled(text, "dl"), numbers.bare(text, dated, "dl")), "dl", "dl"),
-        "ncic": lambda: _numbered(F.concat(numbers.labelled(text, "ncic"), numbers.bare(text, dated, "ncic")), "ncic", "ncic"),
-        "account": lambda: _numbered(numbers.labelled(text, "account"), "account", "account"),
-        "dob": lambda: _numbered(dates.birth_dates(text, F.col("_dates"), who["born"]), "dob", "dob"),
-        "phones": lambda: _numbered(numbers.phones(text, who["phones"]), "phones", "phone"),
-        "other_phones": lambda: _numbered(numbers.phones(text, who["other_phones"]), "other_phones", "other"),
-    }
-    found = F.concat("_fuzzy", *[_made(spark, (name, as_of_year), make) for name, make in steps.items() if name in only])
-    return rows.select(*keys, "text", F.filter(found, lambda h: h["end"] > h["start"]).alias("hits"), "close")
+    own = dict.fromkeys([*keys, "text"])
+    rows = with_profiles(pages.select(*(own | dict.fromkeys([on] if on else []))), subjects, keys, on, as_of_year).select(*own, "_who")
+    return _found(rows, only, first_names, everyday, rewrite).select(*own, "hits", "close", *(("merged", "redacted") if rewrite else ()))

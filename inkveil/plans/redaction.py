@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from inkveil.functions import fixed
 from inkveil.functions.text import lines, page_text
-from inkveil.operators import boxes, detect, gate, report, spans
+from inkveil.operators import boxes, detect, gate, report
 
 
 @dataclass
@@ -47,8 +47,7 @@ def redact(
     stopped = gate.blocked(checked, file, page_no or keys[0]) if file else checked.where("no_text").select(*keys)
     open_pages = gate.admitted(checked, file) if file else checked.where("NOT no_text")
     own_keys = tuple(dict.fromkeys([*keys, *by, *([page_no] if page_no else [])]))
-    found = detect.detect(open_pages, subjects, own_keys, on, as_of_year=as_of_year, first_names=first_names, everyday=everyday)
-    done = found.withColumn("merged", spans.merged(F.col("hits"))).withColumn("redacted", spans.redacted(F.coalesce("text", F.lit("")), F.col("merged")))
+    done = detect.detect(open_pages, subjects, own_keys, on, as_of_year=as_of_year, first_names=first_names, everyday=everyday, rewrite=True)
     if store:
         schema = done.schema
         done.write.mode("overwrite").parquet(store)

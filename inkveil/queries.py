@@ -94,8 +94,8 @@ _REDACTED = f"WITH r AS ({_RECORDS}) SELECT record_id, text AS redacted FROM ({_
 def _hits(spark: SparkSession, sf_dir: str, only: tuple[str, ...] = detect.DETECTORS, kind: str | None = None) -> DataFrame:
     """Merged hits of the records (of one template), each against its own subject's profile."""
     own = pages.records(spark, sf_dir)
-    found = detect.detect(own.where(F.col("kind") == kind) if kind else own, pages.subjects(spark, sf_dir), ("record_id",), "subject_id", only)
-    return found.select("record_id", F.inline(spans.merged(F.col("hits"))))
+    found = detect.detect(own.where(F.col("kind") == kind) if kind else own, pages.subjects(spark, sf_dir), ("record_id",), "subject_id", only, rewrite=True)
+    return found.select("record_id", F.inline("merged"))
 
 
 def _dark_share() -> Column:

@@ -1,14 +1,18 @@
 """Detectors on pages written with marks: <cat|what is to be found>. All pages go through one plan."""
 
+import random
 import re
 
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
-from inkveil.functions import fuzzy
+from inkveil.functions import dates, fuzzy, numbers
 from inkveil.functions.addresses import parse_address
 from inkveil.functions.names import NameModel, initials_for, parse_name
+from inkveil.functions.scan import Page
+from inkveil.functions.text import page_text
 from inkveil.functions.words import Words
 from inkveil.operators import detect, spans
 from inkveil.schema import SUBJECT
@@ -153,3 +157,41 @@ def test_distance_fits_the_whole_table(a, b, most):
 def test_odd_pages_dont_break_words(text):
     words = Words(text)
     assert all(text[a:b] == f for a, b, f in zip(words.starts, words.ends, words.forms, strict=True)) and len(words.lines()) == len(words.forms)
+
+
+def test_scanned_pages_have_the_spans_of_column_expressions(spark):
+    """Numbers, labels and dates put together at random, in part damaged, page by page in Python and by columns; merging and rewriting too."""
+    parts = (
+        "SSN|ſſn|Social Security No.|DOB:|Born on|bırth date|MRN|Medical\nRecord|Driver's License #:|D.L. 123|CII:|State ID No.|patient id|123-45-6789|l23-45-678O|123456789|XXX-XX-1234|A1234567|A 12345678|"
+        "01/02/1960|Ol/O2/l960|2001-05-06|May 5, 2001|5th of May 2001|L5 January 2020|1st ſept 99|05061970|5/1999|1l2l1990x|1/2/1990 1256|(209) 555-1234|+1 209 555 1234 ext. 12|555-1234|12345|$12.00|Zebra|½|Ⅳ|٣٤|\x01|!09 555 1234"
+    ).split("|") + ["|2O9 555-1234", "O1|O2|l990 1256", "|"]
+    draw = random.Random(5)
+    rows = [(k, "".join(draw.choice(parts) + draw.choice((" ", "   ", "\n", "", ", ", "-")) for _ in range(draw.randint(1, 12))), draw.sample(["2095551234", "555-1234", None], 2), draw.choice([None, (1960, 1, 2), (2001, 5, 6)])) for k in range(1500)]
+    df = spark.createDataFrame(rows, "k int, text string, phones array<string>, born struct<y:int,m:int,d:int>")
+    text, dated = F.col("page"), F.col("dated")
+    df = df.withColumn("page", page_text(F.col("text"))).withColumn("dates", dates.dates(text)).withColumn("dated", dates.date_spans(text, F.col("dates")))
+    own = {cat: F.concat(numbers.labelled(text, cat), numbers.bare(text, dated, cat)) for cat in ("dl", "ncic")}
+    own |= {"ssn": numbers.social_security(text, dated), "account": numbers.labelled(text, "account"), "dob": dates.birth_dates(text, F.col("dates"), F.col("born")), "phones": numbers.phones(text, F.col("phones"))}
+    hits = F.array_distinct(F.transform(F.concat(*own.values()), lambda s: F.struct(F.lit("x").alias("cat"), s["start"].alias("start"), s["end"].alias("end"), F.lit(0).alias("ord"), F.lit(None).cast("string").alias("initials"))))
+    df = df.withColumn("hits", hits).withColumn("merged", spans.merged(F.col("hits"))).withColumn("redacted", spans.redacted(F.col("text"), F.col("merged")))
+    some = dict.fromkeys(own, 0)
+    for r in df.select("*", *(c.alias(f"_{n}") for n, c in own.items())).collect():
+        page = Page(r.text + "\n")
+        got = {cat: page.labelled(cat) + page.bare(cat) for cat in ("dl", "ncic")}
+        got |= {"ssn": page.ssn(), "account": page.labelled("account"), "dob": page.births(r.born and tuple(r.born)), "phones": page.phones([x for x in r.phones if x])}
+        assert page.dated == [tuple(s) for s in r.dated]
+        assert got == {n: [tuple(s) for s in r[f"_{n}"]] for n in own}, r.text
+        merged = spans.merged_hits([tuple(h) for h in r.hits])
+        assert merged == [tuple(m) for m in r.merged] and spans.redacted_text(r.text, merged) == r.redacted
+        for n in own:
+            some[n] += len(got[n])
+    assert min(some.values()) > 50
+
+
+def test_detection_has_no_interpreted_columns(spark):
+    """Spans of all kinds, merged, and texts are made in the one pass over Arrow batches."""
+    who = spark.createDataFrame([WHO], SUBJECT)
+    found = detect.detect(spark.createDataFrame([("a", "SSN 123-45-6789")], "name string, text string"), who, ("name",), rewrite=True)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "regexp" not in plan.split("MapInArrow")[0] and "lambda" not in plan.split("MapInArrow")[0]
+    assert found.first().redacted == "SSN [SSN]"
