@@ -236,6 +236,14 @@ def test_report_tells_of_forms_beyond_its_lines(spark):
     assert got["low text"][1:] == ["10 page(s): " + ", ".join(map(str, range(1, 40, 4))), "Blank pages: " + ", ".join(map(str, range(0, 40, 4)))] and got["counts"][-1] == "Total: 3"
 
 
+def test_report_detects_once_for_each_of_its_inputs(spark):
+    """Once for the counts, and once for the close forms, which its list and its number of further forms both read."""
+    lines = engine.QUERIES["report_lines"](spark, SF)
+    lines.collect()
+    plan = lines._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("MapInArrow") == 2
+
+
 def test_ranges_of_very_many_pages(spark):
     """In time that grows with the pages, not with their square."""
     own = spark.range(1).select(F.transform(F.sequence(F.lit(1), F.lit(60_000)), lambda k: 2 * k + F.when(k % 10 == 0, 1).otherwise(0)).alias("pages"))
